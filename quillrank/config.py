@@ -159,7 +159,7 @@ def shipped_settings(site: Site | None = None) -> Settings:
 
 def rules_frame(spark, rules: Sequence[Rule]):
     """The rules as a small table, for audit joins."""
-    rows = [(i, r.name, r.weight, list(r.terms), list(r.effective_tags)) for i, r in enumerate(rules)]
+    rows = [(i, r.name, float(r.weight), list(r.terms), list(r.effective_tags)) for i, r in enumerate(rules)]
     return spark.createDataFrame(
         rows, "rule_no int, name string, weight double, terms array<string>, tags array<string>"
     )

@@ -190,14 +190,16 @@ def score_items(items: DataFrame, settings: Settings) -> DataFrame:
             F.when(on, F.array(*map(F.lit, rule.effective_tags))).otherwise(F.array().cast("array<string>"))
         )
 
-    scored = df.withColumns(
-        {
-            "score": total,
-            "reason": F.coalesce(F.nullif(F.concat_ws("; ", *reasons), F.lit("")), F.lit(NO_REASON)),
-            "tags": F.sort_array(F.array_distinct(F.concat(*tags))),
-        }
-    ).withColumn("decision", decision_of(F.col("score"), settings))
-    return scored.select(*columns, "score", "decision", "reason", "tags")
+    result = F.struct(
+        total.alias("score"),
+        F.coalesce(F.nullif(F.concat_ws("; ", *reasons), F.lit("")), F.lit(NO_REASON)).alias("reason"),
+        F.sort_array(F.array_distinct(F.concat(*tags))).alias("tags"),
+    )
+    # As generated columns, scores stay put: a later filter on them is not pushed
+    # into the projections above, where every mention would be worked out again.
+    # Filters on the item's own columns still pass through to the scan.
+    scored = df.select(*columns, F.inline_outer(F.array(result)))
+    return scored.select(*columns, "score", decision_of(F.col("score"), settings).alias("decision"), "reason", "tags")
 
 
 def phrase_hits(df: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
