@@ -175,7 +175,10 @@ def page_items(spark, folder):
     )
     pages = with_cards.select(
         "page_id",
-        F.when(i % 4 == 1, F.lit("https://items.example.org/x")).otherwise(F.lit("https://items.example.org/summit-london-2019/")).alias("url"),
+        F.when(i % 4 == 1, F.lit("https://items.example.org/x"))
+        .when(i % 4 == 3, F.lit("https://items.example.org/summit-london-2019/"))
+        .otherwise(F.col("url"))
+        .alias("url"),
         F.when(i % 2 == 1, plain).otherwise(F.col("html")).alias("html"),
     )
     rows = cards.page_items(pages, SITE)
@@ -375,7 +378,7 @@ FROM orders""",
 SELECT page_id, url, title, year, conference, duration_minutes, has_transcript FROM cards WHERE page_id % 2 = 0
 UNION ALL
 SELECT doc_id, 'https://items.example.org/presentations/d' || doc_id || '/', 'Plain ' || doc_id,
-  CASE WHEN doc_id % 4 = 1 THEN NULL ELSE 2019 END,
+  CASE WHEN doc_id % 4 = 1 THEN 2016 ELSE 2019 END,
   CASE WHEN doc_id % 4 = 1 THEN 'Summit San Francisco 2016' ELSE 'Summit London 2019' END, NULL, false
 FROM facts WHERE doc_id % 2 = 1""",
     ),

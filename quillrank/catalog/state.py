@@ -87,7 +87,7 @@ def upsert_items(spark, folder):
     )
     state = transitions.mark_reported(state, marks)
     rows = merge.upsert(state, _writes(second), SITE, ["doc_id"])
-    return _shown(rows).withColumn("fetched", rows["fetched_at"].cast("string"))
+    return _shown(rows, F.col("fetched_at").cast("string").alias("fetched"))
 
 
 def last_writes(spark, folder):
@@ -102,13 +102,13 @@ def schema_upgrade(spark, folder):
         "conference_year", "github_issue_node_id", "github_project_item_id", "last_synced_at", "watch_status", "tags"
     ).withColumn("presentation_url", F.lit(None).cast("string"))
     rows = upgrade_state(old.drop("doc_id", "lang", "github_issue_number", "github_issue_url"))
-    return _shown(rows).withColumn("tag_count", F.size(rows["tags"]))
+    return _shown(rows, F.size("tags").alias("tag_count"))
 
 
 def text_state_roundtrip(spark, folder):
     """State written as text rows and read back as typed rows."""
     rows = typed_rows(text_rows(item_view(spark, folder).drop("doc_id", "lang")))
-    return _shown(rows).withColumn("updated", rows["updated_at"].cast("string"))
+    return _shown(rows, F.col("updated_at").cast("string").alias("updated"))
 
 
 def snapshot_roundtrip(spark, folder):
@@ -135,18 +135,18 @@ def _label_events(spark, folder, *columns):
 
 def mark_reported(spark, folder):
     rows = transitions.mark_reported(item_view(spark, folder), _label_events(spark, folder, "issue_number", "issue_url"))
-    return _shown(rows, "doc_id").withColumn("reported", rows["last_reported_at"].cast("string"))
+    return _shown(rows, "doc_id", F.col("last_reported_at").cast("string").alias("reported"))
 
 
 def record_issues(spark, folder):
     events = _label_events(spark, folder, "issue_number", "issue_url", "node_id")
     rows = transitions.record_issues(item_view(spark, folder), events)
-    return _shown(rows, "doc_id").withColumn("synced", rows["last_synced_at"].cast("string"))
+    return _shown(rows, "doc_id", F.col("last_synced_at").cast("string").alias("synced"))
 
 
 def record_project_items(spark, folder):
     rows = transitions.record_project_items(item_view(spark, folder), _label_events(spark, folder, "project_item_id"))
-    return _shown(rows, "doc_id").withColumn("synced", rows["last_synced_at"].cast("string"))
+    return _shown(rows, "doc_id", F.col("last_synced_at").cast("string").alias("synced"))
 
 
 def ledger_upsert(spark, folder):
@@ -340,7 +340,7 @@ SELECT doc_id, {_SHOWN_SQL}, CASE WHEN d IS NOT NULL THEN '2025-07-01 00:00:00'
         """WITH known AS (SELECT c_custkey AS key, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
 seen AS (
   SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS row_count,
-    arg_max(o_orderdate, o_orderkey) AS at, arg_min(year(o_orderdate), o_orderkey) AS first_year,
+    arg_max(o_orderdate, o_orderkey) AS last_at, arg_min(year(o_orderdate), o_orderkey) AS first_year,
     arg_min(o_orderpriority, o_orderkey) AS first_name
   FROM orders GROUP BY 1)
 SELECT 'https://items.example.org/c' || coalesce(k.key, s.key) AS source_url,
@@ -349,7 +349,7 @@ SELECT 'https://items.example.org/c' || coalesce(k.key, s.key) AS source_url,
   CASE WHEN s.key IS NULL OR status = 'F' THEN 'failed' ELSE 'success' END AS status,
   CASE WHEN s.key IS NULL THEN 0 ELSE row_count END AS row_count,
   CASE WHEN s.key IS NULL THEN 'old' WHEN status = 'F' THEN 'page not available' END AS error,
-  CASE WHEN s.key IS NULL THEN '2000-01-01 00:00:00' ELSE strftime(at, '%Y-%m-%d %H:%M:%S') END AS attempted_at
+  CASE WHEN s.key IS NULL THEN '2000-01-01 00:00:00' ELSE strftime(last_at, '%Y-%m-%d %H:%M:%S') END AS attempted_at
 FROM known k FULL OUTER JOIN seen s ON k.key = s.key""",
     ),
     "source_runs": (
