@@ -16,6 +16,7 @@ from quillrank.config import Rule, Settings, Site
 from quillrank.functions.text import collapse
 from quillrank.operators.scoring import score_items
 from quillrank.schema import STATE
+from quillrank.sources.spread import spread
 
 SITE = Site()
 AS_OF = date(2025, 6, 30)
@@ -31,8 +32,12 @@ RULES = (
 SETTINGS = Settings(site=SITE, rules=RULES, companies=("Netflix", "Google"), thresholds={"watch": 16, "skim": 11, "transcript": 8, "background": 4})
 
 
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df, _TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 def when_mod(divisor: int, value: Column, otherwise: Column | None = None, equals: int = 0) -> Column:

@@ -9,8 +9,12 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, spelled out: the plain class of the JVM is ASCII only.
-SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# White space to trim, and as a pattern: the plain class of the JVM is ASCII only.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+# One or more white space characters of any script; the separators 1C to 1F count too.
+SPACES = r"(?U:[\s\x{1C}-\x{1F}]+)"
 # Letters, numbers and underscore of any script; combining marks are not part of a word.
 WORD = r"\p{L}\p{N}_"
 HIDDEN_MARKUP = (
@@ -38,12 +42,12 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
 def fold(c: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import SPACE, WORD, text_or_null
+from quillrank.functions.text import SPACES, WORD, text_or_null
 
-_VISIBLE = rf"(?<![{WORD}])on{SPACE}+([A-Z][a-z]{{2}}{SPACE}+[0-9]{{1,2}},{SPACE}+[0-9]{{4}})"
+_VISIBLE = rf"(?<![{WORD}])on{SPACES}([A-Z][a-z]{{2}}{SPACES}[0-9]{{1,2}},{SPACES}[0-9]{{4}})"
 _CLOCK = rf"(?<![{WORD}])([0-9]{{1,2}}):([0-9]{{2}})(?![{WORD}])"
 _PERIOD = r"^PT(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+)S)?"
 
 
 def visible_date(text: Column) -> Column:
     """First ``on Jul 02, 2024`` in the text."""
-    found = F.regexp_replace(F.regexp_extract(text, _VISIBLE, 1), f"{SPACE}+", " ")
+    found = F.regexp_replace(F.regexp_extract(text, _VISIBLE, 1), SPACES, " ")
     return F.try_to_date(text_or_null(found), "MMM d, yyyy")
 
 

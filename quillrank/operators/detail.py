@@ -14,9 +14,8 @@ _META_NAME = r"(?is)\sname\s*=\s*[\"']?description[\"'\s/>]"
 _META_CONTENT = r"(?is)\scontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
 
 
-def heading(html: Column) -> Column:
-    """Text of the first ``h1``."""
-    clean = without_hidden(html)
+def heading(clean: Column) -> Column:
+    """Text of the first ``h1`` of markup without hidden parts."""
     inner = F.regexp_extract(clean, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1)
     return F.when(clean.rlike(r"(?i)<h1[\s>]"), visible_text(inner))
 
@@ -35,9 +34,10 @@ def meta_description(html: Column) -> Column:
 
 def page_titles(pages: DataFrame) -> DataFrame:
     """Heading and description of each page, with the literal title for pages without one."""
+    pages = pages.withColumn("_clean", without_hidden(F.col("html")))
     return pages.select(
         "page_id",
-        F.coalesce(text_or_null(heading(F.col("html"))), F.lit("Untitled")).alias("title"),
+        F.coalesce(text_or_null(heading(F.col("_clean"))), F.lit("Untitled")).alias("title"),
         meta_description(F.col("html")).alias("description"),
     )
 
@@ -46,13 +46,14 @@ def detail_items(pages: DataFrame, site: Site) -> DataFrame:
     """One record per detail page."""
     html = F.col("html")
     carry = [c for c in pages.columns if c not in ("url", "html")]
-    df = pages.select(
+    clean = F.col("_clean")
+    df = pages.withColumn("_clean", without_hidden(html)).select(
         *carry,
         "url",
         F.try_parse_json(jsonld.first_document(html)).alias("doc"),
-        heading(html).alias("heading"),
+        heading(clean).alias("heading"),
         meta_description(html).alias("description"),
-        visible_pieces(without_hidden(html)).alias("pieces"),
+        visible_pieces(clean).alias("pieces"),
         html.rlike(r"(?i)<video[\s/>]").alias("has_video_tag"),
         (F.contains(html, F.lit("var slides")) | F.contains(html, F.lit("Download Slides"))).alias("has_slide_mark"),
     )

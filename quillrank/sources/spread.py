@@ -1,0 +1,18 @@
+"""Using all cores on tables that come in few splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all cores if it has fewer splits than there are cores.
+
+    Text work is heavy per row, so a small table in one row group would keep one
+    core busy and the rest idle. A large table has many more splits than cores
+    and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
