@@ -124,7 +124,9 @@ def field_rows(items: DataFrame, existing: DataFrame, default_status: str) -> Da
     )
     names = [name for name, _, _ in FIELD_SPECS]
     long = values.unpivot("url", names, "name", "value").filter(F.col("value").isNotNull())
-    rows = long.join(field_map(existing), "name")
+    # One row per known name at most, so this side never grows with the data.
+    known = field_map(existing).filter(F.col("name").isin(*names))
+    rows = long.join(F.broadcast(known), "name")
     select = F.coalesce(F.col("type") == SELECT_TYPE, F.lit(False))
     value = F.col("value")
     option = F.get(F.filter("options", lambda o: o["name"] == value), F.lit(0))["id"]

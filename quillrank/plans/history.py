@@ -40,15 +40,16 @@ def source_outcomes(sources: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def source_rows(sources: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
-    """Item writes of all sources whose pages are complete, stamped with the edition year."""
+    """Item writes of all sources whose pages are complete, stamped with the edition year.
+
+    Pages are turned into item rows first: the join then moves short records of
+    a source, never its page texts.
+    """
     good = source_outcomes(sources, pages).filter(F.col("error").isNull())
-    readable = pages.drop("error").join(good.select("source_url", "year", "ordinal"), "source_url")
-    readable = readable.withColumnRenamed("year", "edition")
-    seq = ("edition", "ordinal", "page_no")
     # Sources are worked through newest first, so a later write has a smaller year.
-    readable = readable.withColumn("edition_order", -F.col("edition"))
-    rows = extracted_items(readable, settings, ("source_url", "edition_order", *seq))
-    return rows.withColumn("conference_year", F.col("edition")).drop("edition")
+    good = good.select("source_url", "ordinal", (-F.col("year")).alias("edition_order"))
+    rows = extracted_items(pages.drop("error"), settings, ("source_url", "page_no"))
+    return rows.join(good, "source_url").withColumn("conference_year", (-F.col("edition_order")).cast("int"))
 
 
 def run_results(sources: DataFrame, pages: DataFrame, rows: DataFrame, run_ts: datetime) -> DataFrame:

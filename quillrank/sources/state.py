@@ -19,7 +19,11 @@ from pyspark.sql import types as T
 from quillrank.schema import STATE, conform, upgrade_state
 
 _VERSIONS = T.StructType(
-    [T.StructField("version", T.LongType()), T.StructField("run_id", T.StringType())]
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("run_id", T.StringType()),
+        T.StructField("buckets", T.IntegerType()),
+    ]
 )
 
 
@@ -35,7 +39,8 @@ class SnapshotStore:
         buckets: int | None = None,
     ):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
-        # Fewer buckets than shuffle partitions would make Spark shuffle the snapshot again.
+        # For new versions; fewer buckets than shuffle partitions would make Spark
+        # shuffle the snapshot again. Every version remembers its own number.
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._name = "snapshot_" + hashlib.sha256(self.path.encode()).hexdigest()[:16]
 
@@ -47,12 +52,16 @@ class SnapshotStore:
                 raise
             return self.spark.createDataFrame([], _VERSIONS)
 
+    def _progress(self, run_id: str) -> tuple[int, bool]:
+        """Newest complete version, and whether ``run_id`` is among the committed runs."""
+        row = self.versions().agg(
+            F.max("version").alias("version"), F.bool_or(F.col("run_id") == run_id).alias("seen")
+        ).first()
+        return row["version"] or 0, bool(row["seen"])
+
     def version(self) -> int:
         """Newest complete version, 0 before the first."""
-        return self.versions().agg(F.max("version").alias("v")).first()["v"] or 0
-
-    def has_run(self, run_id: str) -> bool:
-        return not self.versions().filter(F.col("run_id") == run_id).isEmpty()
+        return self._progress("")[0]
 
     def _location(self, version: int) -> str:
         return f"{self.path}/v={version}"
@@ -61,41 +70,49 @@ class SnapshotStore:
         version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], self.schema)
+        buckets = self.versions().filter(F.col("version") == version).first()["buckets"]
         table = f"{self._name}_{version}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
             f"OPTIONS (path '{self._location(version)}') "
-            f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {self.buckets} BUCKETS"
+            f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {buckets} BUCKETS"
         )
         return self.spark.table(table)
 
     def commit(self, df: DataFrame, run_id: str) -> int:
         """Write ``df`` as the next version. A run id commits once."""
-        if self.has_run(run_id):
-            return self.version()
-        version = self.version() + 1
+        version, seen = self._progress(run_id)
+        if seen:
+            return version
+        return self._write(conform(df, self.schema).repartition(self.buckets, self.key), version + 1, run_id)
+
+    def _write(self, df: DataFrame, version: int, run_id: str) -> int:
         table = f"{self._name}_{version}"
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         (
-            conform(df, self.schema)
-            .repartition(self.buckets, self.key)
-            .write.bucketBy(self.buckets, self.key)
+            df.write.bucketBy(self.buckets, self.key)
             .sortBy(self.key)
             .format("parquet")
             .option("path", self._location(version))
             .mode("overwrite")
             .saveAsTable(table)
         )
-        line = self.spark.createDataFrame([(version, run_id)], _VERSIONS)
+        line = self.spark.createDataFrame([(version, run_id, self.buckets)], _VERSIONS)
         line.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
         return version
 
     def update(self, change: Callable[[DataFrame], DataFrame], run_id: str) -> int:
-        """Commit ``change(current state)`` unless this run already did."""
-        if self.has_run(run_id):
-            return self.version()
-        return self.commit(change(self.read()), run_id)
+        """Commit ``change(current state)`` unless this run already did.
+
+        A change joins the bucketed state by its key or leaves rows in place, so
+        its tasks already hold whole buckets and nothing is shuffled for the write.
+        One run writes at a time.
+        """
+        version, seen = self._progress(run_id)
+        if seen:
+            return version
+        return self._write(conform(change(self.read(version)), self.schema), version + 1, run_id)
 
 
 def typed_rows(rows: DataFrame) -> DataFrame:

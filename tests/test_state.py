@@ -127,8 +127,14 @@ def test_store_versions_are_idempotent_and_bucketed(spark, tmp_path):
     # A merge moves the batch to the snapshot's buckets; the snapshot side stays where it is.
     plan = change(store.read())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    again = SnapshotStore(spark, str(tmp_path / "items"))
+    # Another session may use other bucket numbers: old versions keep theirs.
+    for version in (1, 2):
+        spark.sql(f"DROP TABLE {store._name}_{version}")
+    again = SnapshotStore(spark, str(tmp_path / "items"), buckets=3)
     assert again.version() == 2
+    assert again.update(change, "run-3") == 3
+    assert again.read().count() == 50 and again.read(2).count() == 50
+    assert again.update(change, "run-4") == 4 and again.read().count() == 50
 
 
 def page(title, extra=""):
