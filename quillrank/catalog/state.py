@@ -201,7 +201,8 @@ def _page_records(pages):
 def ingest_stream(spark, folder):
     """The page table read as a stream into a new store."""
     store = SnapshotStore(spark, shared_folder(spark, "ingest"))
-    stream = page_stream(spark, folder, "pages.parquet")
+    # The table may be one file or a folder of files.
+    stream = page_stream(spark, f"{folder}/pages.parquet*")
     query = run_into_store(stream, store, shared_folder(spark, "offsets"), _page_records, SETTINGS)
     query.awaitTermination()
     return store.read().select("url", "title", "presentation_url", "watch_status")
