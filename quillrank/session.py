@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,12 +23,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's checkpoint folder.
+    """A new folder that driver and executors share.
 
-    Only when the session names none (tests, a laptop) is a local one made.
+    It lies under the cluster's checkpoint folder or, where the session names
+    none, beside the tables of the session's warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        run = spark.sql("select uuid() as id").first()["id"]
-        return f"{root.rstrip('/')}/{name}-{run}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
