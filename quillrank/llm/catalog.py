@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.llm import langid
+import corpus_pipeline
+import public_tokenizers
+from quillrank.llm import langid, mixing, packing, pii, simhash
 from quillrank.llm.common import id_crc32
 
 
@@ -13,6 +15,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op3_pivotal_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = mixing.sized(_table(spark, folder, "documents")).select("doc_id", "source", "size")
+    mixed = mixing.mix(sizes, mixing.targets(sizes))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op5_deletion_variant_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_bitmask_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     held = langid.held_out(id_crc32())
@@ -23,5 +46,10 @@ def op9_bitmask_langid(spark: SparkSession, folder: str) -> DataFrame:
 def registry() -> dict:
     """name → (query, SQL or None)."""
     return {
+        "op1_weak_supervision_pii": (op1_weak_supervision_pii, None),
+        "op3_pivotal_mixing": (op3_pivotal_mixing, None),
+        "op5_deletion_variant_simhash": (op5_deletion_variant_simhash, None),
+        "op8_dominance_packing": (op8_dominance_packing, None),
         "op9_bitmask_langid": (op9_bitmask_langid, None),
+        "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
