@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quillrank.llm import langid, mixing, packing, pii, simhash
+from quillrank.llm import langid, mixing, neardup, packing, pii, sharding, simhash
 from quillrank.llm.common import id_crc32
 
 
@@ -20,6 +20,10 @@ def op1_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op2_pigeonhole_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "embeddings").select("vec_id", "label", "embedding"))
+
+
 def op3_pivotal_mixing(spark: SparkSession, folder: str) -> DataFrame:
     sizes = mixing.sized(_table(spark, folder, "documents")).select("doc_id", "source", "size")
     mixed = mixing.mix(sizes, mixing.targets(sizes))
@@ -31,6 +35,10 @@ def op5_deletion_variant_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op8_dominance_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -47,8 +55,10 @@ def registry() -> dict:
     """name → (query, SQL or None)."""
     return {
         "op1_weak_supervision_pii": (op1_weak_supervision_pii, None),
+        "op2_pigeonhole_neardup": (op2_pigeonhole_neardup, None),
         "op3_pivotal_mixing": (op3_pivotal_mixing, None),
         "op5_deletion_variant_simhash": (op5_deletion_variant_simhash, None),
+        "op7_hilbert_sharding": (op7_hilbert_sharding, sharding.SQL),
         "op8_dominance_packing": (op8_dominance_packing, None),
         "op9_bitmask_langid": (op9_bitmask_langid, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
