@@ -155,10 +155,10 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only ``text`` is looked at."""
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, letters = shared.value, _letters()
+        filters, letters = LanguageFilters(**shared.value), _letters()
         wrong = filters.fill**3
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -36,7 +36,7 @@ from quillrank.llm.common import materialize
 CAPACITY = 2048
 END = 0
 #: Words, and stems, whose ids a task remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Pieces of one length that one task numbers, about.
 NUMBERED = 50_000
 
