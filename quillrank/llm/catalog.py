@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quillrank.llm import langid, mixing, neardup, packing, pii, sharding, simhash
+from quillrank.llm import ann, langid, mixing, neardup, packing, pii, sharding, simhash, suffixes
 from quillrank.llm.common import id_crc32
 
 
@@ -30,6 +30,10 @@ def op3_pivotal_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op4_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_deletion_variant_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,15 +55,21 @@ def op9_bitmask_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op10_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_spans(_table(spark, folder, "documents"))
+
+
 def registry() -> dict:
     """name → (query, SQL or None)."""
     return {
         "op1_weak_supervision_pii": (op1_weak_supervision_pii, None),
         "op2_pigeonhole_neardup": (op2_pigeonhole_neardup, None),
         "op3_pivotal_mixing": (op3_pivotal_mixing, None),
+        "op4_learned_partitions": (op4_learned_partitions, None),
         "op5_deletion_variant_simhash": (op5_deletion_variant_simhash, None),
         "op7_hilbert_sharding": (op7_hilbert_sharding, sharding.SQL),
         "op8_dominance_packing": (op8_dominance_packing, None),
         "op9_bitmask_langid": (op9_bitmask_langid, None),
+        "op10_sparse_suffixes": (op10_sparse_suffixes, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
