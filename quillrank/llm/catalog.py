@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quillrank.llm import ann, langid, mixing, neardup, packing, pii, sharding, simhash, suffixes
+from quillrank.llm import ann, langid, maxent, mixing, neardup, packing, pii, sharding, simhash, suffixes
 from quillrank.llm.common import id_crc32
 
 
@@ -39,6 +39,11 @@ def op5_deletion_variant_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_class_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", (id_crc32() % 10 == 0).alias("held_out"), "text")
+    return maxent.fit_and_score(docs)
+
+
 def op7_hilbert_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
 
@@ -67,6 +72,7 @@ def registry() -> dict:
         "op3_pivotal_mixing": (op3_pivotal_mixing, None),
         "op4_learned_partitions": (op4_learned_partitions, None),
         "op5_deletion_variant_simhash": (op5_deletion_variant_simhash, None),
+        "op6_class_maxent": (op6_class_maxent, None),
         "op7_hilbert_sharding": (op7_hilbert_sharding, sharding.SQL),
         "op8_dominance_packing": (op8_dominance_packing, None),
         "op9_bitmask_langid": (op9_bitmask_langid, None),
