@@ -21,9 +21,12 @@ from quillrank.operators.page_walk import walk_page
 _TEXTS = T.ArrayType(T.StringType())
 _CARD = T.StructType(
     [
-        T.StructField("text", T.StringType()),
-        T.StructField("names", _TEXTS),
-        T.StructField("link_texts", _TEXTS),
+        T.StructField("head", T.StringType()),
+        T.StructField("date", T.StringType()),
+        T.StructField("clock", T.StringType()),
+        T.StructField("first_name", T.IntegerType()),
+        T.StructField("end_name", T.IntegerType()),
+        T.StructField("track", T.StringType()),
         T.StructField("transcript", T.BooleanType()),
     ]
 )
@@ -33,38 +36,52 @@ _ANCHOR = T.StructType(
         T.StructField("href", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("card", T.IntegerType()),
+        T.StructField("same", T.BooleanType()),
     ]
 )
 _PAGE = T.StructType(
     [
         T.StructField("cards", T.ArrayType(_CARD)),
         T.StructField("links", T.ArrayType(_ANCHOR)),
+        T.StructField("names", _TEXTS),
+        T.StructField("error", T.StringType()),
     ]
 )
 
 
-def page_cards(html: Column, item_path: str) -> Column:
-    """Cards and item links of each page, Arrow batch by Arrow batch."""
+def page_cards(html: Column, site: Site) -> Column:
+    """Cards and item links of each page, Arrow batch by Arrow batch.
+
+    A page that cannot be walked gives ``error`` and nothing else; its neighbours
+    are not touched by it.
+    """
+    item_path, tracks = site.item_path, tuple(site.tracks)
+
+    def one(html: str | None) -> dict:
+        if html is None:
+            return {"cards": [], "links": [], "names": [], "error": None}
+        try:
+            return walk_page(html, item_path, tracks)
+        except Exception as error:  # whatever markup does to the parser
+            return {"cards": [], "links": [], "names": [], "error": f"{type(error).__name__}: {error}"}
 
     @F.pandas_udf(_PAGE)
     def walk(pages: pd.Series) -> pd.DataFrame:
-        none = {"cards": [], "links": []}
-        found = [none if html is None else walk_page(html, item_path) for html in pages]
-        return pd.DataFrame(found, columns=["cards", "links"])
+        return pd.DataFrame([one(html) for html in pages], columns=["cards", "links", "names", "error"])
 
     # Only pages that mention an item link travel to Python.
     return walk(F.when(F.contains(html, F.lit(item_path)), html))
 
 
-def _card_fields(card: Column, site: Site) -> Column:
-    track = F.get(F.filter(card["link_texts"], lambda t: t.isin(*site.tracks)), F.lit(0))
+def _card_fields(card: Column, names: Column) -> Column:
+    inside = F.slice(names, card["first_name"] + 1, card["end_name"] - card["first_name"])
     return F.struct(
-        times.visible_date(card["text"]).alias("published_date"),
-        times.clock_minutes(card["text"]).alias("duration_minutes"),
-        times.has_bad_visible_date(card["text"]).alias("bad_date"),
-        collapse(card["text"]).alias("text"),
-        text_or_null(F.array_join(F.array_distinct(card["names"]), ", ")).alias("speaker"),
-        track.alias("track"),
+        times.visible_date(card["date"]).alias("published_date"),
+        times.clock_minutes(card["clock"]).alias("duration_minutes"),
+        F.coalesce(times.has_bad_visible_date(card["date"]), F.lit(False)).alias("bad_date"),
+        card["head"].alias("text"),
+        text_or_null(F.array_join(F.array_distinct(inside), ", ")).alias("speaker"),
+        card["track"].alias("track"),
         card["transcript"].alias("transcript"),
     )
 
@@ -78,7 +95,8 @@ def _listing(link: Column, cards: Column, base: Column, site: Site) -> Column:
     text = F.when(inside, fact("text")).otherwise(collapse(link["title"]))
     published = F.when(inside, fact("published_date")).otherwise(times.visible_date(link["title"]))
     minutes = F.when(inside, fact("duration_minutes")).otherwise(times.clock_minutes(link["title"]))
-    summary = F.nullif(text_or_null(text), link["title"])
+    same = F.when(inside, link["same"]).otherwise(text == link["title"])
+    summary = F.when(~same, text_or_null(text))
     return F.struct(
         link["pos"].alias("pos"),
         urls.canonical(urls.absolute(base, link["href"]), site).alias("url"),
@@ -97,9 +115,9 @@ def _listing(link: Column, cards: Column, base: Column, site: Site) -> Column:
 
 def with_listing(pages: DataFrame, site: Site) -> DataFrame:
     """Add ``links`` (raw item links) and ``listing`` (accepted card rows) to each page."""
-    df = pages.withColumn("_page", page_cards(F.col("html"), site.item_path))
-    df = df.withColumn("links", F.col("_page.links")).withColumn(
-        "_cards", F.transform(F.col("_page.cards"), lambda c: _card_fields(c, site))
+    df = pages.withColumn("_page", page_cards(F.col("html"), site))
+    df = df.withColumns({"links": F.col("_page.links"), "walk_error": F.col("_page.error")}).withColumn(
+        "_cards", F.transform(F.col("_page.cards"), lambda c: _card_fields(c, F.col("_page.names")))
     )
     cards, base = F.col("_cards"), F.col("url")
     accepted = F.filter(
@@ -145,10 +163,11 @@ def listing_items(pages: DataFrame, site: Site) -> DataFrame:
     return rows.select(*carry, *_listing_columns(site))
 
 
-def page_items(pages: DataFrame, site: Site) -> DataFrame:
-    """Items of every page: its cards, or its plain item links where no card qualifies.
+def page_results(pages: DataFrame, site: Site) -> DataFrame:
+    """Every page with ``found``, an array of its items, and ``walk_error``.
 
-    The choice is made inside the page's row, so neither side is shuffled.
+    Items are the page's cards, or its plain item links where no card qualifies. The
+    choice is made inside the page's row, so neither side is shuffled.
     """
     found = with_listing(pages, site)
     base = F.col("url")
@@ -180,7 +199,23 @@ def page_items(pages: DataFrame, site: Site) -> DataFrame:
     )
     chosen = F.when(F.size("listing") > 0, from_cards).otherwise(from_links)
     carry = [c for c in pages.columns if c not in ("url", "html")]
-    return unnest(found, carry, chosen, "a").select(*carry, *_listing_columns(site))
+    return found.select(*carry, "walk_error", chosen.alias("found"))
+
+
+def result_items(results: DataFrame, site: Site) -> DataFrame:
+    """One row per item of ``page_results``."""
+    carry = [c for c in results.columns if c not in ("walk_error", "found")]
+    return unnest(results, carry, F.col("found"), "a").select(*carry, *_listing_columns(site))
+
+
+def page_items(pages: DataFrame, site: Site) -> DataFrame:
+    """Items of every page, one row each."""
+    return result_items(page_results(pages, site), site)
+
+
+def walk_errors(pages: DataFrame, site: Site) -> DataFrame:
+    """Pages whose markup could not be walked, with the reason."""
+    return pages.select("page_id", page_cards(F.col("html"), site)["error"].alias("error")).filter("error is not null")
 
 
 def rejected_dates(pages: DataFrame, site: Site) -> DataFrame:

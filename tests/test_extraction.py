@@ -71,8 +71,33 @@ def test_unclosed_tags_and_nested_cards():
     page = walk_page('<div><li><a href="/presentations/a">A</a> 10:00<li data-transcript><a href="/presentations/b">B<p>x</div>', "/presentations/")
     assert [a["title"] for a in page["links"]] == ["A", "B x"]
     first, second = (page["cards"][a["card"]] for a in page["links"])
-    assert first["text"] == "A 10:00 B x" and first["transcript"]
-    assert second["text"] == "B x" and second["transcript"]
+    assert (first["head"], first["clock"], first["transcript"]) == ("A 10:00 B x", "10:00", True)
+    assert (second["head"], second["clock"], second["transcript"]) == ("B x", None, True)
+
+
+def test_a_bad_page_fails_alone(spark):
+    good = '<li><a href="/presentations/g">G</a> 10:00</li>'
+    rows = [(1, "u1", good), (2, "u2", "<![foo[x]]>" + good), (3, "u3", good + "<![foo[x"), (4, "u4", "<![CDATA[<a>]]><![if x]>" + good)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(values(cards.listing_items(pages, SITE), "page_id", "title")) == [(i, "G") for i in (1, 2, 3, 4)]
+    assert cards.walk_errors(pages, SITE).count() == 0
+
+
+def test_what_a_page_gives_grows_with_the_page():
+    def size(n):
+        page = walk_page("".join(f'<li><a href="/presentations/{i}">T{i}<a href="/profile/{i}">N{i}</a> on Jan 05, 2023 10:0{i % 10}' for i in range(n)), "/presentations/")
+        assert len(page["links"]) == n and page["cards"][0]["end_name"] == n and page["cards"][-1]["end_name"] - page["cards"][-1]["first_name"] == 1
+        assert page["cards"][7]["clock"] == "10:07" and [a["title"] for a in page["links"]] == [f"T{i}" for i in range(n)]
+        return len(repr(page))
+
+    assert size(4000) < 4.5 * size(1000)
+
+
+def test_a_card_sees_only_what_lies_inside_it():
+    page = walk_page('<div><li>on <a href="/presentations/a">A</a></li>Jan 05, 2023 <li><a href="/presentations/b">B</a> 9:30</li> 8:15</div>', "/presentations/")
+    assert [(c["date"], c["clock"], c["head"]) for c in page["cards"]] == [(None, None, "on A"), (None, "9:30", "B 9:30")]
+    alone = walk_page('<li><a href="/presentations/a">Only this</a></li>', "/presentations/")
+    assert alone["links"][0]["same"]
 
 
 def test_frontier_caps_with_the_seed_and_dedupes_across_seeds(spark):
