@@ -29,7 +29,7 @@ BUCKET_ROWS = 4096
 FAN = 8
 _TINY = 1e-9
 _SCHEMA = (
-    "doc_id long, source string, size long, source_size long, target double, copies long, "
+    "row long, doc_id long, source string, size long, source_size long, target double, copies long, "
     "open double, spin long, bucket long"
 )
 
@@ -95,11 +95,11 @@ def _pivot(table: pa.Table) -> pa.Table:
 
 
 def mix(sizes: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` of ``sizes(doc_id, source, size)``.
+    """``row, doc_id, source, size, source_size, target, copies`` of ``sizes(doc_id, source, size)``.
 
-    ``wanted`` is a table as ``targets`` makes it.
+    ``wanted`` is a table as ``targets`` makes it. ``row`` is handed on where there is one.
     """
-    sizes = sizes.select("doc_id", "source", "size")
+    sizes = sizes.select(F.col("row") if "row" in sizes.columns else F.lit(None).cast("long").alias("row"), "doc_id", "source", "size")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     part = share - F.floor(share)
     even = (part < _TINY) | (part > 1 - _TINY) | (F.col("size") == 0)
@@ -107,7 +107,7 @@ def mix(sizes: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
     spin = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
     w = wanted.withColumnRenamed("source", "_source")
     rows = sizes.join(w, sizes["source"].eqNullSafe(w["_source"])).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "row", "doc_id", "source", "size", "source_size", "target",
         F.when(part > 1 - _TINY, F.round(share)).otherwise(F.floor(share)).cast("long").alias("copies"),
         F.when(~even, part).alias("open"),
         spin.alias("spin"),
@@ -123,4 +123,4 @@ def mix(sizes: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
         settled = settled.union(level.filter("open is null"))
         level = level.filter("open is not null")
     last = level.withColumn("copies", F.col("copies") + (F.col("open") >= 0.5).cast("long"))  # one of each source
-    return settled.union(last).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return settled.union(last).select("row", "doc_id", "source", "size", "source_size", "target", "copies")
