@@ -56,7 +56,7 @@ def frontier_pages(spark, folder):
 
 
 def frontier_across_seeds(spark, folder):
-    return frontier.frontier_across_seeds(frontier.frontier(_seeds(spark, folder), PAGE_SITE, 3)).drop("key")
+    return frontier.frontier_across_seeds(_seeds(spark, folder), PAGE_SITE, 3).drop("key")
 
 
 def fetch_plan(spark, folder):
@@ -164,6 +164,23 @@ def listing_cards(spark, folder):
     )
 
 
+def nested_cards(spark, folder):
+    """Ten documents a page, as list items nobody closes: each lies inside all before it."""
+    i = F.col("doc_id")
+    text = i.cast("string")
+    item = F.concat(
+        F.lit('<li><a href="/presentations/d'), text, F.lit('">'), _escaped(F.col("title")), F.lit("</a>"),
+        F.when(i % 5 == 2, F.lit("<![odd[mark]]>")).otherwise(F.lit("")),
+        F.lit('<a href="/profile/p'), text, F.lit('">Speaker '), text, F.lit("</a>"),
+        F.coalesce(F.concat(F.lit("<span>on "), F.date_format("day", "MMM dd, yyyy"), F.lit("</span>")), F.lit("")),
+        F.when(i % 4 != 0, F.concat(F.lit("<i>"), (i % 90).cast("string"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit("</i>"))).otherwise(F.lit("")),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item"))))
+    pages = _facts(spark, folder).groupBy(F.floor(i / 10).alias("page_id")).agg(F.array_join(F.transform(ordered, lambda x: x["item"]), "").alias("html"))
+    rows = cards.listing_items(pages.withColumn("url", F.lit("https://items.example.org/list")), SITE)
+    return rows.select("page_id", "url", "title", F.col("published_date").cast("string").alias("published"), "speaker", "duration_minutes")
+
+
 def page_items(spark, folder):
     """Cards where there are any, plain links elsewhere: half of the pages have no card facts."""
     i = F.col("page_id")
@@ -370,6 +387,19 @@ FROM (SELECT *, o_orderkey % 25 + 2000 AS y FROM orders)""",
   CAST(CASE WHEN o_orderkey % 100 <> 0 THEN 60 + o_orderkey % 100 + CASE WHEN o_custkey % 60 >= 30 THEN 1 ELSE 0 END END AS INTEGER) AS period,
   CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS visible, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS iso
 FROM orders""",
+    ),
+    "nested_cards": (
+        nested_cards,
+        f"""WITH {_FACTS_SQL},
+rest AS (
+  SELECT doc_id, title, doc_id // 10 AS page_id,
+    first_value(day IGNORE NULLS) OVER later AS day, first_value(minutes IGNORE NULLS) OVER later AS minutes,
+    list('Speaker ' || doc_id) OVER later AS names
+  FROM card
+  WINDOW later AS (PARTITION BY doc_id // 10 ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT page_id, 'https://items.example.org/presentations/d' || doc_id || '/' AS url, title, CAST(day AS VARCHAR) AS published,
+  array_to_string(names, ', ') AS speaker, minutes AS duration_minutes
+FROM rest WHERE day IS NOT NULL OR minutes IS NOT NULL""",
     ),
     "listing_cards": (listing_cards, f"WITH {_FACTS_SQL} SELECT * FROM cards"),
     "page_items": (

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillrank.catalog.selection import SOURCES_SQL, backfill_batch_sql, sources_pending
 from quillrank.catalog.views import AS_OF, SCORED_SQL, SITE, scored_view, table
 from quillrank.config import ELIGIBLE
 from quillrank.operators import payloads as work
 from quillrank.operators import reports, selection
+from quillrank.plans import reports as jobs
+from quillrank.session import shared_folder
 from quillrank.sources import sinks
+from quillrank.sources.state import SnapshotStore
 
 _ELIGIBLE_SQL = ", ".join(f"'{d}'" for d in ELIGIBLE)
 _TITLE = "Item Site/Summit Watchlist: 2017-2023"
@@ -49,7 +53,25 @@ def weekly_lines(spark, folder):
 
 def review_lines(spark, folder):
     queue = selection.unreported(scored_view(spark, folder), list(ELIGIBLE))
-    return reports.review_lines(queue).select("url", "line_no", "line")
+    return reports.review_lines(queue, "Review batch").select("part", "url", "line_no", "line")
+
+
+def report_text(spark, folder):
+    """The weekly report written by its job from a store, and its file read back."""
+    store = SnapshotStore(spark, shared_folder(spark, "items"))
+    store.commit(scored_view(spark, folder), "seed")
+    path = shared_folder(spark, "report")
+    jobs.weekly_report(store, path, 12, AS_OF, "Item Site/Summit Weekly Watchlist")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def backfill_documents(spark, folder):
+    batch = selection.backfill_batch(scored_view(spark, folder), 40, list(ELIGIBLE), 2016, 2030)
+    return sinks.backfill_documents(batch, SITE)
+
+
+def source_documents(spark, folder):
+    return sinks.source_documents(sources_pending(spark, folder))
 
 
 def payloads(spark, folder):
@@ -119,7 +141,7 @@ _LINK_SQL = "coalesce(nullif(presentation_url, ''), url)"
 _BUCKET_SQL = "list_position(['watch', 'skim', 'transcript', 'background', 'skip'], decision)"
 _CAP_SQL = "upper(left(decision, 1)) || substr(decision, 2)"
 
-_PAYLOAD_SQL = f"""
+PAYLOAD_SQL = f"""
 pay AS (
   SELECT url,
     '[' || coalesce(CAST(year AS VARCHAR), 'unknown-year') || '][' || coalesce(nullif(conference, ''), 'Summit') || '] ' || title AS title,
@@ -190,28 +212,43 @@ UNION ALL SELECT year || '.' || b || '.' || number || '.3', '   - Tags: ' || arr
 top AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY score DESC, year ASC NULLS FIRST, title, url) AS number FROM best),
 groups AS (SELECT DISTINCT decision, b FROM top)
 SELECT '-1.0.0.0' AS part, '# Item Site/Summit Weekly Watchlist: 2025-06-30' AS line
-UNION ALL SELECT '-1.0.0.1', ''
-UNION ALL SELECT '0.' || b || '.0.0', '## ' || {_CAP_SQL} FROM groups
-UNION ALL SELECT '0.' || b || '.0.1', '' FROM groups
+UNION ALL SELECT '0.' || b || '.0.0', '' FROM groups
+UNION ALL SELECT '0.' || b || '.0.1', '## ' || {_CAP_SQL} FROM groups
+UNION ALL SELECT '0.' || b || '.0.2', '' FROM groups
 UNION ALL SELECT '0.' || b || '.' || number || '.0', number || '. [' || title || '](' || {_LINK_SQL} || ') - ' || {_SHORT_SQL} FROM top
-UNION ALL SELECT '0.' || b || '.' || number || '.1', '   - Why: ' || reason FROM top
-UNION ALL SELECT '0.' || b || '.2147483647.0', '' FROM groups""",
+UNION ALL SELECT '0.' || b || '.' || number || '.1', '   - Why: ' || reason FROM top""",
     ),
     "review_lines": (
         review_lines,
         f"""WITH {SCORED_SQL}, queue AS (SELECT * FROM scored WHERE issue_number IS NULL AND decision IN ({_ELIGIBLE_SQL}))
-SELECT url, CAST(0 AS INTEGER) AS line_no,
+SELECT CAST(0 AS INTEGER) AS part, NULL AS url, CAST(unnest(range(4)) AS INTEGER) AS line_no, unnest(['# Review batch', '', 'Review queue:', '']) AS line
+UNION ALL SELECT 1, url, CAST(0 AS INTEGER),
   '- [ ] [' || title || '](' || {_LINK_SQL} || ')' || {_WHO_SQL} || ' - ' || {_SHORT_SQL} || ' (' || decision || ')' AS line FROM queue
-UNION ALL SELECT url, 1, '  - Why: ' || reason FROM queue
-UNION ALL SELECT url, 2, '  - Tags: ' || array_to_string(tags, ', ') FROM queue WHERE len(tags) > 0""",
+UNION ALL SELECT 1, url, 1, '  - Why: ' || reason FROM queue
+UNION ALL SELECT 1, url, 2, '  - Tags: ' || array_to_string(tags, ', ') FROM queue WHERE len(tags) > 0""",
+    ),
+    "backfill_documents": (
+        backfill_documents,
+        f"""WITH {SCORED_SQL},{PAYLOAD_SQL},
+batch AS ({backfill_batch_sql()})
+SELECT kind, batch.url AS url, CAST(CASE WHEN kind = 'repair'
+  THEN to_json({{'url': s.url, 'title': s.title, 'issue_number': s.github_issue_number, 'issue_url': s.github_issue_url}})
+  ELSE to_json({{'url': pay.url, 'title': pay.title, 'body': pay.body, 'labels': pay.labels}}) END AS VARCHAR) AS document
+FROM batch JOIN scored s ON s.doc_id = batch.doc_id JOIN pay ON pay.url = batch.url""",
+    ),
+    "source_documents": (
+        source_documents,
+        f"""WITH {SOURCES_SQL} SELECT source_url,
+  CAST(to_json({{'source_url': source_url, 'year': year, 'ordinal': ordinal, 'source_name': source_name}}) AS VARCHAR) AS document FROM sources
+WHERE source_url NOT IN (SELECT source_url FROM ledger) ORDER BY year DESC, ordinal LIMIT 18""",
     ),
     "payloads": (
         payloads,
-        f"WITH {SCORED_SQL},{_PAYLOAD_SQL} SELECT url, title, body, array_to_string(labels, '|') AS labels FROM pay",
+        f"WITH {SCORED_SQL},{PAYLOAD_SQL} SELECT url, title, body, array_to_string(labels, '|') AS labels FROM pay",
     ),
     "payload_documents": (
         payload_documents,
-        f"""WITH {SCORED_SQL},{_PAYLOAD_SQL}
+        f"""WITH {SCORED_SQL},{PAYLOAD_SQL}
 SELECT url, CAST(to_json({{'url': url, 'title': title, 'body': body, 'labels': labels}}) AS VARCHAR) AS document FROM pay""",
     ),
     "labels_needed": (
@@ -251,3 +288,5 @@ SELECT url, title, presentation_url, summary, year, conference_year, speaker, co
   CAST(to_json(tags) AS VARCHAR) AS tags, CAST(published_date AS VARCHAR) AS published FROM scored""",
     ),
 }
+
+QUERIES["report_text"] = (report_text, f"SELECT line FROM ({QUERIES['weekly_lines'][1]})")

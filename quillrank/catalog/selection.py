@@ -10,7 +10,7 @@ from quillrank.operators import selection
 
 _COLUMNS_SQL = "doc_id, url, title, year, CAST(published_date AS VARCHAR) AS published, score, decision"
 _ELIGIBLE_SQL = ", ".join(f"'{d}'" for d in ELIGIBLE)
-_LATEST_SQL = "year DESC NULLS LAST, published_date DESC NULLS LAST, score DESC NULLS LAST, title, url"
+LATEST_SQL = "year DESC NULLS LAST, published_date DESC NULLS LAST, score DESC NULLS LAST, title, url"
 _SCORE_SQL = "score DESC NULLS LAST, year DESC NULLS LAST, title, url"
 _KEY_SQL = "rtrim(coalesce(presentation_url, url), '/')"
 
@@ -24,7 +24,7 @@ def _select(sql_rest: str) -> str:
     return f"WITH {SCORED_SQL} SELECT {_COLUMNS_SQL} FROM scored {sql_rest}"
 
 
-def _open_sql(where: str = "") -> str:
+def open_sql(where: str = "") -> str:
     """CTE ``open_items``: best open row per address."""
     return f"""
 open_rows AS (
@@ -144,7 +144,7 @@ def sources_retry(spark, folder):
     return selection.pending_sources(sources, _order_ledger(spark, folder), 100, retry_failed=True)
 
 
-_SOURCES_SQL = """
+SOURCES_SQL = """
 years AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders FROM orders GROUP BY 1),
 forms(ordinal, source_name, head) AS (VALUES
   (0, 'summit-sf', 'https://items.example.org/summit-san-francisco-'),
@@ -160,6 +160,20 @@ ledger AS (
   SELECT s.source_url, CASE WHEN s.ordinal < 2 THEN 'success' ELSE 'failed' END AS status
   FROM attempts a JOIN sources s ON a.year = s.year AND a.ordinal = s.ordinal)"""
 
+def backfill_batch_sql() -> str:
+    """The batch over ``scored``, to stand alone or in brackets."""
+    return f"""SELECT * FROM (WITH {open_sql('AND year BETWEEN 2016 AND 2030')},
+repairs AS (
+  SELECT 'repair' AS kind, {_COLUMNS_SQL} FROM scored
+  WHERE github_issue_number IS NOT NULL AND github_issue_url IS NOT NULL AND github_project_item_id IS NULL
+    AND decision IN ({_ELIGIBLE_SQL}) AND year BETWEEN 2016 AND 2030 ORDER BY {LATEST_SQL} LIMIT 40),
+creates AS (
+  SELECT 'create' AS kind, {_COLUMNS_SQL},
+    row_number() OVER (ORDER BY {LATEST_SQL}) AS pos FROM open_items)
+SELECT * FROM repairs UNION ALL
+SELECT * EXCLUDE (pos) FROM creates WHERE pos <= greatest(40 - (SELECT count(*) FROM repairs), 0))"""
+
+
 QUERIES = {
     "list_items": (list_items, _select("WHERE year BETWEEN 2018 AND 2021 AND decision IN ('watch', 'skim')")),
     "edition_items": (edition_items, _select("WHERE conference_year = 2019")),
@@ -168,7 +182,7 @@ QUERIES = {
         _select(f"WHERE issue_number IS NULL AND decision IN ({_ELIGIBLE_SQL}) ORDER BY {_SCORE_SQL} LIMIT 30"),
     ),
     "unreported_all": (unreported_all, _select("WHERE issue_number IS NULL")),
-    "open_items": (open_items, f"WITH {SCORED_SQL},{_open_sql()} SELECT {_COLUMNS_SQL} FROM open_items"),
+    "open_items": (open_items, f"WITH {SCORED_SQL},{open_sql()} SELECT {_COLUMNS_SQL} FROM open_items"),
     "canonical_dedupe": (
         canonical_dedupe,
         f"""WITH {SCORED_SQL}, ranked AS (
@@ -182,34 +196,25 @@ SELECT item_key, {_COLUMNS_SQL} FROM ranked WHERE rn = 1""",
     ),
     "sync_candidates_latest": (
         sync_candidates_latest,
-        f"WITH {SCORED_SQL},{_open_sql('AND year >= 2016 AND year <= 2024')} SELECT {_COLUMNS_SQL} FROM open_items ORDER BY {_LATEST_SQL} LIMIT 25",
+        f"WITH {SCORED_SQL},{open_sql('AND year >= 2016 AND year <= 2024')} SELECT {_COLUMNS_SQL} FROM open_items ORDER BY {LATEST_SQL} LIMIT 25",
     ),
     "sync_candidates_year": (
         sync_candidates_year,
-        f"WITH {SCORED_SQL},{_open_sql('AND year = 2020')} SELECT {_COLUMNS_SQL} FROM open_items ORDER BY {_SCORE_SQL} LIMIT 25",
+        f"WITH {SCORED_SQL},{open_sql('AND year = 2020')} SELECT {_COLUMNS_SQL} FROM open_items ORDER BY {_SCORE_SQL} LIMIT 25",
     ),
     "recent_candidates": (
         recent_candidates,
-        f"""WITH {SCORED_SQL},{_open_sql("AND published_date >= DATE '2025-06-30' - 365")} SELECT {_COLUMNS_SQL} FROM open_items""",
+        f"""WITH {SCORED_SQL},{open_sql("AND published_date >= DATE '2025-06-30' - 365")} SELECT {_COLUMNS_SQL} FROM open_items""",
     ),
     "repair_candidates": (
         repair_candidates,
         f"""WITH {SCORED_SQL} SELECT {_COLUMNS_SQL}, github_issue_number, github_issue_url, github_issue_node_id FROM scored
 WHERE github_issue_number IS NOT NULL AND github_issue_url IS NOT NULL AND github_project_item_id IS NULL
-  AND decision IN ({_ELIGIBLE_SQL}) AND year BETWEEN 2016 AND 2030 ORDER BY {_LATEST_SQL} LIMIT 25""",
+  AND decision IN ({_ELIGIBLE_SQL}) AND year BETWEEN 2016 AND 2030 ORDER BY {LATEST_SQL} LIMIT 25""",
     ),
     "backfill_batch": (
         backfill_batch,
-        f"""WITH {SCORED_SQL},{_open_sql('AND year BETWEEN 2016 AND 2030')},
-repairs AS (
-  SELECT 'repair' AS kind, {_COLUMNS_SQL} FROM scored
-  WHERE github_issue_number IS NOT NULL AND github_issue_url IS NOT NULL AND github_project_item_id IS NULL
-    AND decision IN ({_ELIGIBLE_SQL}) AND year BETWEEN 2016 AND 2030 ORDER BY {_LATEST_SQL} LIMIT 40),
-creates AS (
-  SELECT 'create' AS kind, {_COLUMNS_SQL},
-    row_number() OVER (ORDER BY {_LATEST_SQL}) AS pos FROM open_items)
-SELECT * FROM repairs UNION ALL
-SELECT * EXCLUDE (pos) FROM creates WHERE pos <= greatest(40 - (SELECT count(*) FROM repairs), 0)""",
+        f"WITH {SCORED_SQL} {backfill_batch_sql()}",
     ),
     "latest_year": (latest_year, f"WITH {SCORED_SQL} SELECT max(year) AS latest_year FROM scored"),
     "weekly_eligible": (weekly_eligible, _select(f"WHERE decision IN ({_ELIGIBLE_SQL})")),
@@ -219,15 +224,15 @@ SELECT * EXCLUDE (pos) FROM creates WHERE pos <= greatest(40 - (SELECT count(*)
   (array_agg(event_id ORDER BY value DESC, event_id DESC))[1] AS best_event
 FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-20' - 7 GROUP BY user_id""",
     ),
-    "sources_all": (sources_all, f"WITH {_SOURCES_SQL} SELECT year, ordinal, source_name, source_url, orders FROM sources"),
+    "sources_all": (sources_all, f"WITH {SOURCES_SQL} SELECT year, ordinal, source_name, source_url, orders FROM sources"),
     "sources_pending": (
         sources_pending,
-        f"""WITH {_SOURCES_SQL} SELECT year, ordinal, source_name, source_url FROM sources
+        f"""WITH {SOURCES_SQL} SELECT year, ordinal, source_name, source_url FROM sources
 WHERE source_url NOT IN (SELECT source_url FROM ledger) ORDER BY year DESC, ordinal LIMIT 18""",
     ),
     "sources_retry": (
         sources_retry,
-        f"""WITH {_SOURCES_SQL} SELECT year, ordinal, source_name, source_url FROM sources
+        f"""WITH {SOURCES_SQL} SELECT year, ordinal, source_name, source_url FROM sources
 WHERE source_url NOT IN (SELECT source_url FROM ledger WHERE status = 'success') ORDER BY year DESC, ordinal LIMIT 100""",
     ),
 }

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from quillrank.catalog.extraction import PAGE_SITE, _FACTS_SQL, _LINKS_SQL, detail_pages
+from quillrank.catalog.extraction import PAGE_SITE, _FACTS_SQL, _LINKS_SQL, card_pages, detail_pages
+from quillrank.catalog.reports import PAYLOAD_SQL
+from quillrank.catalog.selection import LATEST_SQL, open_sql
 from quillrank.catalog.views import ITEMS_SQL, RUN_TS, SCORED_SQL, SETTINGS, SITE, item_view, scored_view, table
-from quillrank.config import Settings
+from quillrank.config import Settings, Site
 from quillrank.functions import urls
 from quillrank.operators import detail, links, merge, transitions
 from quillrank.plans import history
 from quillrank.schema import ITEM, LEDGER, STATE, conform, upgrade_state
 from quillrank.session import shared_folder
 from quillrank.sources.state import SnapshotStore, text_rows, typed_rows
-from quillrank.streaming.ingest import page_stream, run_into_store
+from quillrank.streaming.ingest import ingest_pages, page_stream, queue_work, run_into_store
 
 _SHOWN = ["title", "summary", "year", "conference_year", "speaker", "company", "duration_minutes", "conference", "view_count",
           "like_count", "has_video", "has_slides", "has_transcript", "watch_status", "issue_number", "issue_url",
@@ -174,8 +177,8 @@ def ledger_upsert(spark, folder):
 _SOURCE_SETTINGS = Settings(site=PAGE_SITE)
 
 
-def source_runs(spark, folder):
-    """Hosts as sources: outcome and number of item writes of each."""
+def _archive(spark, folder):
+    """Hosts as sources with their pages; one host cannot be read."""
     pages = table(spark, folder, "pages")
     host = urls.netloc(F.col("url"))
     feed = host == "spam-farm.example.org"
@@ -186,8 +189,35 @@ def source_runs(spark, folder):
     sources = read.select("source_url").distinct().select(
         "source_url", F.lit(2020).alias("year"), F.lit(0).alias("ordinal"), F.col("source_url").alias("source_name")
     )
-    rows = history.source_rows(sources, read, _SOURCE_SETTINGS)
-    return history.run_results(sources, read, rows, RUN_TS).select("source_url", "year", "source_name", "status", "row_count", "error")
+    return sources, read
+
+
+def source_runs(spark, folder):
+    """Hosts as sources: outcome and number of item writes of each."""
+    sources, read = _archive(spark, folder)
+    results = history.read_pages(read, _SOURCE_SETTINGS)
+    outcomes = history.source_outcomes(sources, results)
+    rows = history.source_rows(outcomes, results, _SOURCE_SETTINGS)
+    return history.run_results(outcomes, rows, RUN_TS).select("source_url", "year", "source_name", "status", "row_count", "error")
+
+
+def _worked_off(spark, folder):
+    """The same sources read into stores."""
+    sources, read = _archive(spark, folder)
+    items = SnapshotStore(spark, shared_folder(spark, "items"))
+    ledger = SnapshotStore(spark, shared_folder(spark, "ledger"), LEDGER, "source_url")
+    history.run_sources(items, ledger, sources, read, _SOURCE_SETTINGS, RUN_TS, "run")
+    return items, ledger
+
+
+def source_run_items(spark, folder):
+    items, _ = _worked_off(spark, folder)
+    return items.read().select("url", "title", "conference_year", "watch_status")
+
+
+def source_run_ledger(spark, folder):
+    _, ledger = _worked_off(spark, folder)
+    return ledger.read().select("source_url", "year", "source_name", "status", "row_count", "error")
 
 
 def _page_records(pages):
@@ -203,11 +233,31 @@ def ingest_stream(spark, folder):
     store = SnapshotStore(spark, shared_folder(spark, "ingest"))
     # The table may be one file or a folder of files.
     stream = page_stream(spark, f"{folder}/pages.parquet*")
-    query = run_into_store(stream, store, shared_folder(spark, "offsets"), _page_records, SETTINGS)
-    query.awaitTermination()
+    run_into_store(stream, store, shared_folder(spark, "offsets"), _page_records, SETTINGS)
     return store.read().select("url", "title", "presentation_url", "watch_status")
 
 
+def ingest_items(spark, folder):
+    """Card pages in several files, one file a micro-batch: cards, scores, one merge."""
+    pages = shared_folder(spark, "pages")
+    card_pages(spark, folder).repartition(4, "page_id").write.parquet(pages)
+    store = SnapshotStore(spark, shared_folder(spark, "ingest"))
+    stream = page_stream(spark, pages, files_per_batch=1)
+    ingest_pages(stream, store, shared_folder(spark, "offsets"), replace(SETTINGS, site=Site()), RUN_TS)
+    return store.read().select("url", "title", "year", "duration_minutes", "track", "has_video", "has_transcript", "watch_status")
+
+
+def outbox_items(spark, folder):
+    """Work queued three times from the same items: each address once."""
+    store = SnapshotStore(spark, shared_folder(spark, "items"))
+    store.commit(scored_view(spark, folder), "seed")
+    settings = replace(SETTINGS, sync={**SETTINGS.sync, "batch_limit": 30}, start_year=2016, end_year=2024)
+    outbox = shared_folder(spark, "outbox")
+    for run in ("a", "b", "b", "c"):
+        queue_work(store, settings, outbox, run)
+    return spark.read.parquet(outbox).select("kind", "url", "title")
+
+
 _TWO_RUNS_SQL = f"""{ITEMS_SQL},
 keyed AS (SELECT *, rtrim(url, '/') || '/' AS key, rtrim(coalesce(presentation_url, url), '/') || '/' AS link FROM items),
 run1 AS (SELECT * FROM keyed WHERE lang <> 'fr'),
@@ -369,6 +419,31 @@ SELECT h.host AS source_url, CAST(2020 AS INTEGER) AS year, h.host AS source_nam
   CASE WHEN h.host = 'spam-farm.example.org' THEN 0 ELSE coalesce(n, 0) END AS row_count,
   CASE WHEN h.host = 'spam-farm.example.org' THEN '410 gone' END AS error
 FROM hosts h LEFT JOIN counts c ON h.host = c.host""",
+    ),
+    "source_run_items": (
+        source_run_items,
+        rf"""WITH {_LINKS_SQL},
+ok AS (
+  SELECT *, regexp_extract(rtrim(regexp_extract(href, '^([^?#;]*)', 1), '/'), '([^/]*)$', 1) AS slug FROM full_links
+  WHERE regexp_extract(page_url, '^[a-z]+://([^/?#]*)', 1) <> 'spam-farm.example.org'),
+named AS (
+  SELECT *, CASE WHEN regexp_extract(link_url, '^[a-z]+://([^/?#]*)', 1) LIKE '%example.com'
+    THEN rtrim(regexp_extract(link_url, '^([^?#;]*)', 1), '/') || '/' ELSE link_url END AS url
+  FROM ok WHERE slug <> '' AND NOT regexp_matches(slug, '^\d+$') AND title <> '' AND lower(title) NOT IN ('la', 'the')),
+firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)
+SELECT url, title, CAST(2020 AS INTEGER) AS conference_year, 'new' AS watch_status FROM firsts
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC, pos DESC) = 1""",
+    ),
+    "ingest_items": (
+        ingest_items,
+        f"""WITH {_FACTS_SQL}
+SELECT url, title, year, duration_minutes, track, has_video, has_transcript, 'new' AS watch_status FROM cards""",
+    ),
+    "outbox_items": (
+        outbox_items,
+        f"""WITH {SCORED_SQL},{open_sql('AND year BETWEEN 2016 AND 2024')},{PAYLOAD_SQL},
+best AS (SELECT url FROM open_items ORDER BY {LATEST_SQL} LIMIT 90)
+SELECT 'create' AS kind, pay.url, pay.title FROM pay JOIN best ON pay.url = best.url""",
     ),
     "ingest_stream": (
         ingest_stream,
@@ -384,3 +459,6 @@ SELECT url, title, url AS presentation_url, 'new' AS watch_status FROM firsts
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC, pos DESC) = 1""",
     ),
 }
+
+# The ledger of a run says what the run's results say.
+QUERIES["source_run_ledger"] = (source_run_ledger, QUERIES["source_runs"][1])

@@ -27,7 +27,7 @@ def any_field(doc: Column, path: str) -> Column:
 
 
 def first_document(html: Column) -> Column:
-    """First embedded document that is an object, as JSON text.
+    """First embedded document that is an object, as a variant.
 
     A list stands for its first element, an empty list or empty script for an
     empty object; unreadable scripts are passed over.
@@ -37,14 +37,13 @@ def first_document(html: Column) -> Column:
         shape = kind(doc)
         first = F.try_variant_get(doc, "$[0]", "variant")
         return (
-            F.when(body == "", F.lit("{}"))
-            .when(shape.startswith("OBJECT"), F.to_json(doc))
-            .when(shape == "ARRAY<VOID>", F.coalesce(F.to_json(first), F.lit("{}")))
-            .when(
-                shape.startswith("ARRAY") & kind(first).startswith("OBJECT"), F.to_json(first)
-            )
+            F.when(body == "", empty)
+            .when(shape.startswith("OBJECT"), doc)
+            .when(shape == "ARRAY<VOID>", F.coalesce(first, empty))
+            .when(shape.startswith("ARRAY") & kind(first).startswith("OBJECT"), first)
         )
 
+    empty = F.parse_json(F.lit("{}"))
     docs = F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), candidate)
     return F.get(F.array_compact(docs), F.lit(0))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,24 +91,31 @@ def joined_fold(*parts: Column) -> Column:
 
 
 def _entity_table() -> Column:
-    # One literal, not hundreds: it folds to a constant map before the job starts.
-    names = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    # One literal, not thousands: it folds to a constant map before the job starts.
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+# Names that count without a closing semicolon, longest first.
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode numeric and HTML 4 named character references ending in ``;``."""
-    reference = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    """Decode numeric and named character references, with or without ``;`` as HTML has it."""
+    reference = r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)"
     table = _entity_table()
 
     def with_ref(part: Column, index: Column) -> Column:
         ref = F.when(index > 0, F.regexp_extract(part, reference, 1)).otherwise(F.lit(""))
-        return F.struct(part.alias("part"), index.alias("index"), ref.alias("ref"))
+        # A name that is none as a whole may begin with one that needs no semicolon.
+        known = ref.startswith("#") | F.map_contains_key(table, ref)
+        bare = F.regexp_extract(ref, f"^({_BARE_NAMES})", 1)
+        return F.struct(part.alias("part"), index.alias("index"), F.when(known, ref).otherwise(bare).alias("ref"))
 
     def with_code(p: Column) -> Column:
+        number = F.rtrim(p.ref, F.lit(";"))
         digits = F.when(
-            F.lower(p.ref).startswith("#x"), F.conv(F.substring(p.ref, 3, 6), 16, 10)
-        ).when(p.ref.startswith("#"), F.substring(p.ref, 2, 7))
+            F.lower(number).startswith("#x"), F.conv(F.substring(number, 3, 6), 16, 10)
+        ).when(number.startswith("#"), F.substring(number, 2, 7))
         return F.struct(p.part, p["index"].alias("index"), p.ref, digits.try_cast("int").alias("code"))
 
     def with_char(p: Column) -> Column:
@@ -119,7 +126,7 @@ def decode_entities(c: Column) -> Column:
         return F.struct(p.part, p["index"].alias("index"), p.ref, char.alias("char"))
 
     def piece(p: Column) -> Column:
-        rest = F.substring(p.part, F.length(p.ref) + 2, F.length(p.part))
+        rest = F.substring(p.part, F.length(p.ref) + 1, F.length(p.part))
         return F.when(p["index"] == 0, p.part).otherwise(
             F.coalesce(F.concat(p.char, rest), F.concat(F.lit("&"), p.part))
         )

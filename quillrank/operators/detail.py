@@ -50,7 +50,7 @@ def detail_items(pages: DataFrame, site: Site) -> DataFrame:
     df = pages.withColumn("_clean", without_hidden(html)).select(
         *carry,
         "url",
-        F.try_parse_json(jsonld.first_document(html)).alias("doc"),
+        jsonld.first_document(html).alias("doc"),
         heading(clean).alias("heading"),
         meta_description(html).alias("description"),
         visible_pieces(clean).alias("pieces"),

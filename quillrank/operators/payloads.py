@@ -47,8 +47,11 @@ def label_color(label: Column) -> Column:
     return color
 
 
-def payloads(items: DataFrame, site: Site) -> DataFrame:
-    """``url, title, body, labels``: what a work item says; the url is its idempotency key."""
+def payloads(items: DataFrame, site: Site, *carry) -> DataFrame:
+    """``url, title, body, labels``: what a work item says; the url is its idempotency key.
+
+    ``carry`` names further columns to keep. Fixed values: the wording of title and body.
+    """
     year = F.coalesce(F.col("year").cast("string"), F.lit("unknown-year"))
     event = F.coalesce(text_or_null(F.col("conference")), F.lit(site.event))
 
@@ -76,6 +79,7 @@ def payloads(items: DataFrame, site: Site) -> DataFrame:
         F.concat(F.lit("["), year, F.lit("]["), event, F.lit("] "), F.col("title")).alias("title"),
         F.concat_ws("\n", *lines).alias("body"),
         label_set(site).alias("labels"),
+        *carry,
     )
 
 

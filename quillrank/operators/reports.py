@@ -151,20 +151,19 @@ def weekly_lines(items: DataFrame, top: int, as_of: date, title: str) -> DataFra
     )
     first = number == 1
     body = [
-        _line(F.when(first, F.concat(F.lit("## "), F.initcap("decision"))), 0, bucket, 0, 0),
-        _line(F.when(first, F.lit("")), 0, bucket, 0, 1),
+        # A blank line opens each bucket, so none is left at the end.
+        _line(F.when(first, F.lit("")), 0, bucket, 0, 0),
+        _line(F.when(first, F.concat(F.lit("## "), F.initcap("decision"))), 0, bucket, 0, 1),
+        _line(F.when(first, F.lit("")), 0, bucket, 0, 2),
         _line(entry, 0, bucket, number, 0),
         _line(F.concat(F.lit("   - Why: "), F.col("reason")), 0, bucket, number, 1),
-        # A blank line closes each bucket; it sorts behind every number.
-        _line(F.when(first, F.lit("")), 0, bucket, (1 << 31) - 1, 0),
     ]
-    head = items.sparkSession.range(1)
-    header = _lines(head, [_line(F.lit(f"# {title}: {as_of.isoformat()}"), -1, 0, 0, 0), _line(F.lit(""), -1, 0, 0, 1)])
+    header = _lines(items.sparkSession.range(1), [_line(F.lit(f"# {title}: {as_of.isoformat()}"), -1, 0, 0, 0)])
     return header.unionByName(_lines(best, body))
 
 
-def review_lines(items: DataFrame) -> DataFrame:
-    """Checklist lines of all given items, best first.
+def review_lines(items: DataFrame, title: str) -> DataFrame:
+    """Heading and checklist lines of all given items, best first.
 
     The list can be long, so lines keep their item's sort columns and are
     ordered by a distributed sort, not by a running number.
@@ -189,12 +188,19 @@ def review_lines(items: DataFrame) -> DataFrame:
         F.concat(F.lit("  - Why: "), F.col("reason")),
         F.concat(F.lit("  - Tags: "), tags),
     )
-    rows = items.select("score", "year", "title", "url", F.posexplode_outer(lines).alias("line_no", "line"))
-    return rows.filter(F.col("line").isNotNull())
+    rows = items.select(F.lit(1).alias("part"), "score", "year", "title", "url", F.posexplode_outer(lines).alias("line_no", "line"))
+    # The wording of the heading. Without items it ends with its last text.
+    heading = F.array(F.lit(f"# {title}"), F.lit(""), F.lit("Review queue:"))
+    none = {c: F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("score", "year", "title", "url")}
+    one = items.sparkSession.range(1)
+    head = one.select(F.lit(0).alias("part"), *none.values(), F.posexplode(heading).alias("line_no", "line"))
+    blank = items.limit(1).select(F.lit(0).alias("part"), *none.values(), F.lit(3).alias("line_no"), F.lit("").alias("line"))
+    return head.unionByName(blank).unionByName(rows.filter(F.col("line").isNotNull()))
 
 
 def review_order() -> list[Column]:
     return [
+        F.col("part").asc(),
         F.col("score").desc_nulls_last(),
         F.col("year").desc_nulls_last(),
         F.col("title").asc_nulls_first(),

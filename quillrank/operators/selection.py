@@ -98,10 +98,13 @@ def open_items(
     decisions: Sequence[str] | None = None,
     as_of: date | None = None,
     recent_days: int | None = None,
+    waiting: DataFrame | None = None,
     **filters,
 ) -> DataFrame:
     """One item per address that has no issue under any slash variant.
 
+    ``waiting`` has the ``_key`` of addresses whose issue is on its way.
+
     All rows of an address share the fate of its key, so picking the best row
     first and dropping published keys second gives the same items with one row
     per key on either side of the anti join: no key can be hot.
@@ -111,7 +114,10 @@ def open_items(
     )
     if recent_days is not None:
         rows = rows.filter(F.col("published_date") >= F.date_sub(F.lit(as_of).cast("date"), recent_days))
-    return best_per_key(rows).join(published_keys(items), "_key", "left_anti").drop("_key")
+    done = published_keys(items)
+    if waiting is not None:
+        done = done.unionByName(waiting.select("_key").distinct())
+    return best_per_key(rows).join(done, "_key", "left_anti").drop("_key")
 
 
 def sync_candidates(items: DataFrame, limit: int, latest: bool = False, **filters) -> DataFrame:
@@ -124,14 +130,17 @@ def repair_candidates(
     limit: int,
     decisions: Sequence[str] | None = None,
     latest: bool = False,
+    waiting: DataFrame | None = None,
     **filters,
 ) -> DataFrame:
-    """Items whose issue exists but is not on the project board."""
+    """Items whose issue exists but is not on the project board, nor on its way there."""
     rows = filtered(items, decisions, **filters).filter(
         F.col("github_issue_number").isNotNull()
         & F.col("github_issue_url").isNotNull()
         & F.col("github_project_item_id").isNull()
     )
+    if waiting is not None:
+        rows = rows.join(waiting.select("url").distinct(), "url", "left_anti")
     return rows.orderBy(*(latest_first() if latest else score_first())).limit(limit)
 
 
@@ -142,13 +151,18 @@ def backfill_batch(
     start_year: int | None = None,
     end_year: int | None = None,
     with_project: bool = True,
+    waiting: DataFrame | None = None,
 ) -> DataFrame:
-    """Repairs first, new items in what is left of the budget, latest first in each."""
+    """Repairs first, new items in what is left of the budget, latest first in each.
+
+    ``waiting`` (kind, _key, url) is what an outbox already holds; it is not picked again.
+    """
     span = {"start_year": start_year, "end_year": end_year}
-    new = sync_candidates(items, limit, latest=True, decisions=decisions, **span).withColumn("kind", F.lit("create"))
+    of = {k: waiting.filter(F.col("kind") == k) if waiting is not None else None for k in ("create", "repair")}
+    new = sync_candidates(items, limit, latest=True, decisions=decisions, waiting=of["create"], **span).withColumn("kind", F.lit("create"))
     if not with_project:
         return new
-    repair = repair_candidates(items, limit, decisions, latest=True, **span).withColumn("kind", F.lit("repair"))
+    repair = repair_candidates(items, limit, decisions, latest=True, waiting=of["repair"], **span).withColumn("kind", F.lit("repair"))
     return repair.unionByName(new).orderBy(F.col("kind").desc(), *latest_first()).limit(limit)
 
 

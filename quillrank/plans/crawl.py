@@ -26,7 +26,11 @@ from quillrank.sources.state import SnapshotStore
 
 def extracted_items(pages: DataFrame, settings: Settings, seq: Sequence[str]) -> DataFrame:
     """Item records of all pages, with the columns that order their writes."""
-    found = page_items(pages, settings.site)
+    return item_records(page_items(pages, settings.site), seq)
+
+
+def item_records(found: DataFrame, seq: Sequence[str]) -> DataFrame:
+    """Items with all record fields, and the columns that order their writes."""
     record = conform(found.drop(*seq, "pos"), ITEM).columns
     missing = {f.name: F.lit(None).cast(f.dataType) for f in ITEM.fields if f.name not in found.columns}
     return found.withColumns(missing).select(*record, *seq, "pos")

@@ -20,12 +20,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_saved_pages(spark: SparkSession, folder: str, base_url: str) -> DataFrame:
-    """One page per file. Saved files all resolve their links against ``base_url``."""
+    """One page per file. Saved files all resolve their links against ``base_url``.
+
+    ``seq`` orders them by their path: of two files with the same item the later counts.
+    """
     files = spark.read.text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").alias("html")
     )
     return files.select(
-        F.xxhash64("file").alias("page_id"), F.lit(base_url).alias("url"), "html", "file"
+        F.xxhash64("file").alias("page_id"), F.lit(base_url).alias("url"), "html", F.col("file").alias("seq")
     )
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.functions import urls
 from quillrank.operators.payloads import payloads
 from quillrank.operators.selection import list_order
 from quillrank.schema import ITEM
@@ -47,6 +49,74 @@ def write_long_report(lines: DataFrame, order, path: str) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
-def write_outbox(items: DataFrame, site, path: str, run_id: str) -> None:
-    """Payloads to be created, one folder per run; writing a run again replaces it."""
-    payloads(items, site).write.mode("overwrite").parquet(f"{path}/run={run_id}")
+def backfill_documents(batch: DataFrame, site) -> DataFrame:
+    """``kind, url, document`` of a batch: what a repair says, and the payloads of new items."""
+    said = outbox_rows(batch, site)
+    repair = F.to_json(F.struct("url", "title", "issue_number", "issue_url"))
+    create = F.to_json(F.struct("url", "title", "body", "labels"))
+    return said.select("kind", "url", F.when(F.col("kind") == "repair", repair).otherwise(create).alias("document"))
+
+
+def source_documents(sources: DataFrame) -> DataFrame:
+    """One JSON document per source, or per result of a run, with all its known fields."""
+    return sources.select("source_url", F.to_json(F.struct(*sources.columns)).alias("document"))
+
+
+def write_backfill_preview(batch: DataFrame, site, path: str, start_year: int | None, end_year: int | None, mode: str = "dry-run") -> None:
+    """Documents under ``repairs`` and ``issues``; window and count under ``summary``."""
+    rows = backfill_documents(batch, site)
+    for kind, folder in (("repair", "repairs"), ("create", "issues")):
+        rows.filter(F.col("kind") == kind).select("document").write.mode("overwrite").text(f"{path}/{folder}")
+    summary = rows.agg(F.count("*").alias("count")).select(
+        F.lit(mode).alias("mode"), F.lit(start_year).cast("int").alias("start_year"), F.lit(end_year).cast("int").alias("end_year"), "count"
+    )
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+def write_source_preview(sources: DataFrame, path: str, mode: str = "dry-run") -> None:
+    """Documents under ``sources`` (or ``results`` after a run), their number under ``summary``."""
+    rows = source_documents(sources)
+    folder = "sources" if mode == "dry-run" else "results"
+    rows.select("document").write.mode("overwrite").text(f"{path}/{folder}")
+    summary = rows.agg(F.count("*").alias("count")).select(F.lit(mode).alias("mode"), "count")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
+_OUTBOX = (
+    "kind string, _key string, url string, title string, body string, labels array<string>, "
+    "issue_number bigint, issue_url string, node_id string"
+)
+
+
+def outbox_rows(batch: DataFrame, site) -> DataFrame:
+    """What to do about each item of ``batch``: create its issue, or put the known one on the board."""
+    if "kind" not in batch.columns:
+        batch = batch.withColumn("kind", F.lit("create"))
+    keyed = batch.withColumn("_key", urls.item_key(F.col("presentation_url"), F.col("url")))
+    said = payloads(keyed, site, "kind", "_key", F.col("title").alias("_title"), "github_issue_number", "github_issue_url", "github_issue_node_id")
+    repair = F.col("kind") == "repair"
+    return said.select(
+        "kind", "_key", "url",
+        F.when(repair, F.col("_title")).otherwise(F.col("title")).alias("title"),
+        F.when(~repair, F.col("body")).alias("body"),
+        F.when(~repair, F.col("labels")).alias("labels"),
+        F.when(repair, F.col("github_issue_number")).alias("issue_number"),
+        F.when(repair, F.col("github_issue_url")).alias("issue_url"),
+        F.when(repair, F.col("github_issue_node_id")).alias("node_id"),
+    )
+
+
+def write_outbox(batch: DataFrame, site, path: str, run_id: str) -> None:
+    """Work items to be done, one folder per run; writing a run again replaces it."""
+    outbox_rows(batch, site).write.mode("overwrite").parquet(f"{path}/run={run_id}")
+
+
+def queued(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """``kind, _key, url`` of all work items that runs other than ``run_id`` put into the outbox."""
+    try:
+        rows = spark.read.schema(f"{_OUTBOX}, run string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{_OUTBOX}, run string")
+    return rows.filter(F.col("run") != run_id).select("kind", "_key", "url")

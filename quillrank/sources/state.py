@@ -3,7 +3,9 @@
 A run reads version N, writes N+1 next to it and then adds a line to the
 ``versions`` table; readers follow that table, so a lost job leaves the last
 good version in place. Snapshots are bucketed by key: a merge shuffles the
-batch of writes to the snapshot's buckets, never the snapshot itself.
+batch of writes to the snapshot's buckets, never the snapshot itself. Every run
+writes to a folder of its own; of two runs that make the same version, the one
+that is second to say so fails.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,11 +39,14 @@ class SnapshotStore:
         schema: T.StructType = STATE,
         key: str = "url",
         buckets: int | None = None,
+        keep: int | None = None,
     ):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
         # For new versions; fewer buckets than shuffle partitions would make Spark
         # shuffle the snapshot again. Every version remembers its own number.
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # How many versions stay; None keeps all.
+        self.keep = keep
         self._name = "snapshot_" + hashlib.sha256(self.path.encode()).hexdigest()[:16]
 
     def versions(self) -> DataFrame:
@@ -63,19 +68,27 @@ class SnapshotStore:
         """Newest complete version, 0 before the first."""
         return self._progress("")[0]
 
-    def _location(self, version: int) -> str:
-        return f"{self.path}/v={version}"
+    def _location(self, version: int, run_id: str) -> str:
+        return f"{self.path}/v={version}-{hashlib.sha256(run_id.encode()).hexdigest()[:12]}"
+
+    def _line(self, version: int) -> Row:
+        """What the versions table says of ``version``; two lines are a conflict."""
+        lines = self.versions().filter(F.col("version") == version).limit(2).collect()
+        if len(lines) != 1:
+            raise RuntimeError(f"{self.path}: {len(lines)} runs made version {version}")
+        return lines[0]
 
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], self.schema)
-        buckets = self.versions().filter(F.col("version") == version).first()["buckets"]
+        line = self._line(version)
+        buckets, location = line["buckets"], self._location(version, line["run_id"])
         table = f"{self._name}_{version}"
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
-            f"OPTIONS (path '{self._location(version)}') "
+            f"OPTIONS (path '{location}') "
             f"CLUSTERED BY ({self.key}) SORTED BY ({self.key}) INTO {buckets} BUCKETS"
         )
         return self.spark.table(table)
@@ -94,25 +107,44 @@ class SnapshotStore:
             df.write.bucketBy(self.buckets, self.key)
             .sortBy(self.key)
             .format("parquet")
-            .option("path", self._location(version))
+            .option("path", self._location(version, run_id))
             .mode("overwrite")
             .saveAsTable(table)
         )
         line = self.spark.createDataFrame([(version, run_id, self.buckets)], _VERSIONS)
+        if not self.versions().filter(F.col("version") == version).isEmpty():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            raise RuntimeError(f"{self.path}: another run made version {version}")
         line.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        self._line(version)
+        if self.keep is not None:
+            self._drop(version - self.keep)
         return version
 
+    def _drop(self, last: int) -> None:
+        """Forget the files and tables of versions up to ``last``; their lines stay."""
+        files = self.spark._jvm.org.apache.hadoop.fs
+        for line in self.versions().filter(F.col("version") <= last).collect():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name}_{line['version']}")
+            path = files.Path(self._location(line["version"], line["run_id"]))
+            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if system.exists(path):
+                system.delete(path, True)
+
     def update(self, change: Callable[[DataFrame], DataFrame], run_id: str) -> int:
         """Commit ``change(current state)`` unless this run already did.
 
         A change joins the bucketed state by its key or leaves rows in place, so
         its tasks already hold whole buckets and nothing is shuffled for the write.
-        One run writes at a time.
+        Only where there is no state in these buckets yet are rows dealt to them.
         """
         version, seen = self._progress(run_id)
         if seen:
             return version
-        return self._write(conform(change(self.read(version)), self.schema), version + 1, run_id)
+        new = conform(change(self.read(version)), self.schema)
+        if not version or self._line(version)["buckets"] != self.buckets:
+            new = new.repartition(self.buckets, self.key)
+        return self._write(new, version + 1, run_id)
 
 
 def typed_rows(rows: DataFrame) -> DataFrame:

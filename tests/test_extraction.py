@@ -7,6 +7,7 @@ from quillrank.config import Site, shipped_settings
 from quillrank.operators import cards, detail, frontier, links
 from quillrank.operators.page_walk import walk_page
 from quillrank.plans.crawl import crawl_items
+from quillrank.sources.pages import read_cached_pages, read_saved_pages
 from tests.conftest import values
 
 SITE = Site()
@@ -107,13 +108,34 @@ def test_frontier_caps_with_the_seed_and_dedupes_across_seeds(spark):
     assert sorted(values(pages.filter("seed_order = 1"), "page_no", "url")) == [
         (0, "https://h.example/"), (1, "https://h.example/p/2/"), (2, "https://h.example/presentations/3/"),
     ]
-    kept = sorted(values(frontier.frontier_across_seeds(pages), "seed_order", "page_no", "url"))
+    across = frontier.frontier_across_seeds(seeds, SITE, 3)
+    kept = sorted(values(across, "seed_order", "page_no", "url"))
     # The second seed stays although the first one linked to it; its other page is not read twice.
     assert kept == [
         (1, 0, "https://h.example/"), (1, 1, "https://h.example/p/2/"), (1, 2, "https://h.example/presentations/3/"),
         (2, 0, "https://h.example/p/2"), (2, 2, "https://h.example/z"),
     ]
-    assert frontier.frontier(seeds, SITE, 1).count() == 2
+    assert frontier.frontier(seeds, SITE, 1).count() == 2 and frontier.frontier_across_seeds(seeds, SITE, 0).count() == 0
+    # Links are taken from the markup once.
+    assert across._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_named_references_like_the_parser(spark):
+    texts = ["&check; &lbrace;&nbsp", "&amp &ampx &notit; &not; &AMP &unknown; &", "&#65 &#x42; &#67;"]
+    rows = spark.createDataFrame([(i, f"https://x.example/{i}", f'<a href="/presentations/t{i}">T {t}</a>') for i, t in enumerate(texts)], "page_id long, url string, html string")
+    native = dict(values(links.item_links(rows, SITE), "page_id", "title"))
+    walked = {i: walk_page(f'<a href="/presentations/t{i}">T {t}</a>', "/presentations/")["links"][0]["title"] for i, t in enumerate(texts)}
+    assert native == walked and native[0] == "T ✓ {"
+
+
+def test_saved_pages_in_file_order(spark, tmp_path):
+    for name, title in (("b", "later"), ("a", "first")):
+        (tmp_path / f"{name}.html").write_text(f'<li><a href="/presentations/t">{title}</a> on Jan 02, 2020</li>')
+    saved = read_saved_pages(spark, str(tmp_path), "https://items.example.org/list")
+    assert [p.rsplit("/", 1)[1] for (p,) in sorted(values(saved, "seq"))] == ["a.html", "b.html"]
+    rows = crawl_items(saved, shipped_settings(), datetime(2024, 1, 1), seq=("seq",))
+    assert values(rows, "title") == [("later",)]
+    assert sorted(values(read_cached_pages(spark, str(tmp_path)), "cache_key")) == [("a",), ("b",)]
 
 
 def test_detail_prefers_embedded_json(spark):

@@ -101,7 +101,7 @@ def test_first_document(spark):
         return "".join(f'<script type="application/ld+json">{b}</script>' for b in bodies)
 
     pages = [page("bad", '{"a":1}'), page("[]", '{"a":1}'), page('[{"a":2}, 1]'), page("", '{"a":1}'), page('"x"', '{"a":3}'), "none"]
-    assert apply(spark, pages, jsonld.first_document) == ['{"a":1}', "{}", '{"a":2}', "{}", '{"a":3}', None]
+    assert apply(spark, pages, lambda c: F.to_json(jsonld.first_document(c))) == ['{"a":1}', "{}", '{"a":2}', "{}", '{"a":3}', None]
 
 
 def test_authors(spark):

@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 from quillrank.config import Site, shipped_settings
 from quillrank.operators import merge, transitions
 from quillrank.plans import crawl, history
+from quillrank.plans import reports as jobs
 from quillrank.schema import ITEM, LEDGER, STATE, conform, upgrade_state
 from quillrank.sources.state import SnapshotStore, text_rows, typed_rows
-from quillrank.streaming.ingest import ingest_pages, page_stream
+from quillrank.streaming.ingest import ingest_pages, merge_pending, page_stream, queue_work
 from tests.conftest import values
 
 SITE = Site()
@@ -153,19 +155,99 @@ def test_stream_equals_batch_and_fills_the_outbox(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = page_stream(spark, source)
-        query = ingest_pages(stream, store, str(tmp_path / "offsets"), settings_, NOW, str(tmp_path / "outbox"))
-        query.awaitTermination()
+        ingest_pages(stream, store, str(tmp_path / "offsets"), settings_, NOW, str(tmp_path / "outbox"))
     assert store.version() == 2
     everything = spark.createDataFrame([r for rows in batches for r in rows], schema)
     batch = merge.upsert(spark.createDataFrame([], STATE), crawl.crawl_items(everything, settings_, NOW), SITE, (), collapsed=True)
     columns = [c for c in STATE.names if c not in ("topics", "tags")]
     assert sorted(values(store.read(), *columns), key=str) == sorted(values(batch, *columns), key=str)
     outbox = spark.read.parquet(str(tmp_path / "outbox"))
-    assert {r[0] for r in values(outbox, "url")} == {"https://items.example.org/presentations/b/"}
+    assert values(outbox, "kind", "url") == [("create", "https://items.example.org/presentations/b/")]
     version = crawl.rescore(store, settings_, datetime(2024, 6, 1), "rescore")
     assert version == 3 and store.read().filter("updated_at = timestamp'2024-06-01 00:00:00'").count() == 3
 
 
+def test_another_checkpoint_loses_nothing_and_a_replay_repeats_nothing(spark, tmp_path):
+    settings_, schema = shipped_settings(), "page_id long, url string, html string"
+    store = SnapshotStore(spark, str(tmp_path / "items"))
+    for name in ("a", "b"):
+        rows = [(1, "https://items.example.org/l", page(name))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        ingest_pages(page_stream(spark, str(tmp_path / name)), store, str(tmp_path / f"offsets-{name}"), settings_, NOW)
+    assert store.version() == 2
+    assert sorted(values(store.read(), "title")) == [("Talk a",), ("Talk b",)]
+    # No new files: nothing is appended and nothing merged.
+    assert ingest_pages(page_stream(spark, str(tmp_path / "b")), store, str(tmp_path / "offsets-b"), settings_, NOW) == 2
+    pending = spark.read.parquet(f"{store.path}/pending")
+    stream = values(pending.filter("title = 'Talk b'"), "stream")[0][0]
+    assert pending.count() == 2 and merge_pending(store, settings_, stream) == 2
+
+
+def test_several_batches_make_one_version(spark, tmp_path):
+    settings_, schema = shipped_settings(), "page_id long, url string, html string"
+    for i in range(3):
+        rows = [(i, "https://items.example.org/l", page("same", f"{i}0:00 Kubernetes migration incident Kafka streaming") + page(f"p{i}"))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    store, outbox = SnapshotStore(spark, str(tmp_path / "items")), str(tmp_path / "outbox")
+    stream = page_stream(spark, str(tmp_path / "pages"), files_per_batch=1)
+    assert ingest_pages(stream, store, str(tmp_path / "offsets"), settings_, NOW, outbox) == 1
+    assert spark.read.parquet(f"{store.path}/pending").select("batch").distinct().count() == 3
+    assert store.read().count() == 4
+    for run in ("x", "y", "x"):
+        queue_work(store, settings_, outbox, run)
+    urls = [r[0] for r in values(spark.read.parquet(outbox), "url")]
+    assert len(urls) == len(set(urls)) == 1
+
+
+def test_first_version_has_a_file_a_bucket(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "items"), buckets=5)
+    batch = writes(spark, [(i, f"https://items.example.org/presentations/{i}/", "t", None, None, NOW) for i in range(200)])
+    change = lambda state: merge.upsert(state, batch.repartition(7), SITE, ["seq"])
+    for version in (1, 2):
+        assert store.update(change, f"run-{version}") == version
+        files = list((tmp_path / "items").glob(f"v={version}-*/part-*.parquet"))
+        assert len(files) == 5
+
+
+def test_two_writers_of_a_version_and_old_versions(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "items"), keep=2)
+    batch = writes(spark, [(0, "https://items.example.org/presentations/1/", "t", None, None, NOW)])
+    change = lambda state: merge.upsert(state, batch, SITE, ["seq"])
+    assert store.update(change, "one") == 1
+
+    def overtaken(state):
+        other = SnapshotStore(spark, store.path)
+        assert other.update(change, "other") == 2
+        return change(state)
+
+    with pytest.raises(RuntimeError, match="another run made version 2"):
+        store.update(overtaken, "late")
+    assert store.version() == 2 and store.read().count() == 1
+    line = store.versions().filter("version = 2")
+    line.write.mode("append").parquet(f"{store.path}/versions")
+    with pytest.raises(RuntimeError, match="2 runs made version 2"):
+        store.read()
+    clean = SnapshotStore(spark, str(tmp_path / "clean"), keep=2)
+    for i in range(4):
+        clean.update(change, f"run-{i}")
+    assert sorted(p.name[:3] for p in (tmp_path / "clean").glob("v=*")) == ["v=3", "v=4"] and clean.read(3).count() == 1
+
+
+def test_report_jobs_take_the_latest_year(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "items"))
+    rows = writes(spark, [(0, "https://items.example.org/presentations/1/", "One", None, 2020, NOW)]).drop("seq")
+    store.commit(rows.withColumns({"year": F.lit(2021), "decision": F.lit("watch"), "score": F.lit(20.0), "reason": F.lit("r")}), "seed")
+    settings_ = shipped_settings()
+    assert jobs.report_years(store, settings_) == (settings_.start_year, 2021)
+    for name, edition in (("all", None), ("edition", 2020), ("none", 2019)):
+        jobs.watchlist_report(store, settings_, str(tmp_path / name), 5, date(2025, 1, 1), "T", edition=edition)
+    read = {n: next((tmp_path / n).glob("part-*")).read_text().splitlines() for n in ("all", "edition", "none")}
+    assert read["all"][0] == f"# T: {settings_.start_year}-2021" and "## 2021" in read["all"]
+    assert read["edition"][0] == "# T: 2020-2020" and "## 2020" in read["edition"] and "- total crawled: 0" in read["none"]
+    jobs.review_report(store, str(tmp_path / "review"), "Batch")
+    assert spark.read.text(str(tmp_path / "review")).count() == 6
+
+
 def test_history_runs_sources_and_records_outcomes(spark, tmp_path):
     sources = spark.createDataFrame([(2020, 0, "n20", "s20"), (2019, 0, "n19", "s19"), (2019, 1, "nx", "sx"), (2018, 0, "n18", "s18")], "year int, ordinal int, source_name string, source_url string")
     pages = spark.createDataFrame(
@@ -174,6 +256,8 @@ def test_history_runs_sources_and_records_outcomes(spark, tmp_path):
         "source_url string, page_no int, url string, html string, error string",
     )
     items, ledger = SnapshotStore(spark, str(tmp_path / "items")), SnapshotStore(spark, str(tmp_path / "ledger"), LEDGER, "source_url")
+    walks = history.read_pages(pages, shipped_settings())._jdf.queryExecution().executedPlan().toString()
+    assert walks.count("ArrowEvalPython") == 1
     for run in ("r1", "r1"):
         history.run_sources(items, ledger, sources, pages, shipped_settings(), NOW, run)
     assert sorted(values(items.read(), "url", "conference_year")) == [

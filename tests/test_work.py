@@ -132,10 +132,13 @@ def test_weekly_and_review(spark):
     items = state(spark, ROWS, COLUMNS)
     weekly = reports.weekly_lines(selection.weekly_eligible(items), 3, date(2025, 1, 1), "W")
     assert [r.line for r in weekly.orderBy("part").collect()] == [
-        "# W: 2025-01-01", "", "## Watch", "", "1. [D](https://h/p/d) - 15", "   - Why: ", "2. [C](https://h/p/c) - 11", "   - Why: ", "3. [G](https://h/p/g) - 10", "   - Why: ", "",
+        "# W: 2025-01-01", "", "## Watch", "", "1. [D](https://h/p/d) - 15", "   - Why: ", "2. [C](https://h/p/c) - 11", "   - Why: ", "3. [G](https://h/p/g) - 10", "   - Why: ",
     ]
-    review = reports.review_lines(selection.unreported(items, ["skim"]))
-    assert [r.line for r in review.orderBy(*reports.review_order()).collect()] == ["- [ ] [B](https://h/p/b) - 10 (skim)", "  - Why: "]
+    assert [r.line for r in reports.weekly_lines(items.filter("false"), 3, date(2025, 1, 1), "W").collect()] == ["# W: 2025-01-01"]
+    none = reports.review_lines(items.filter("false"), "R").orderBy(*reports.review_order())
+    assert [r.line for r in none.collect()] == ["# R", "", "Review queue:"]
+    review = reports.review_lines(selection.unreported(items, ["skim"]), "R")
+    assert [r.line for r in review.orderBy(*reports.review_order()).collect()] == ["# R", "", "Review queue:", "", "- [ ] [B](https://h/p/b) - 10 (skim)", "  - Why: "]
 
 
 def test_payload(spark):
@@ -177,5 +180,18 @@ def test_sinks(spark, tmp_path):
     sinks.write_outbox(items, SITE, str(tmp_path / "out"), "r1")
     sinks.write_outbox(items, SITE, str(tmp_path / "out"), "r1")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
-    sinks.write_long_report(reports.review_lines(items), reports.review_order(), str(tmp_path / "long"))
-    assert spark.read.text(str(tmp_path / "long")).count() == 18
+    batch = items.limit(2).withColumn("kind", F.lit("repair")).withColumns(
+        {"github_issue_number": F.lit(7).cast("bigint"), "github_issue_url": F.lit("i7"), "github_issue_node_id": F.lit("n7")}
+    ).unionByName(items.limit(1).withColumn("kind", F.lit("create")))
+    sinks.write_outbox(batch, SITE, str(tmp_path / "both"), "r1")
+    said = sorted(values(spark.read.parquet(str(tmp_path / "both")), "kind", "issue_number", "issue_url", "node_id", F.isnull("body")))
+    assert said == [("create", None, None, None, False)] + [("repair", 7, "i7", "n7", True)] * 2
+    sinks.write_backfill_preview(batch, SITE, str(tmp_path / "backfill"), 2016, 2030)
+    assert values(spark.read.json(str(tmp_path / "backfill/summary")), "mode", "start_year", "end_year", "count") == [("dry-run", 2016, 2030, 3)]
+    assert spark.read.json(str(tmp_path / "backfill/repairs")).columns == ["issue_number", "issue_url", "title", "url"]
+    assert spark.read.json(str(tmp_path / "backfill/issues")).count() == 1
+    sources = spark.createDataFrame([("s", 2020)], "source_url string, year int")
+    sinks.write_source_preview(sources, str(tmp_path / "sources"))
+    assert values(spark.read.json(str(tmp_path / "sources/sources")), "source_url", "year") == [("s", 2020)]
+    sinks.write_long_report(reports.review_lines(items, "R"), reports.review_order(), str(tmp_path / "long"))
+    assert spark.read.text(str(tmp_path / "long")).count() == 22
