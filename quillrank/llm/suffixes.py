@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,11 +81,14 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, "key long, row long, pos int")
 
 
-_CONTEXT = "key long, row long, doc_id long, pos int, left binary, n_left int, right binary, n_right int"
+_CONTEXT = "key long, row long, doc_id long, at array<int>, left binary, n_left int, right binary, n_right int"
 
 
 def _in_context(docs: DataFrame, length: int) -> DataFrame:
-    """The suffixes at ``spots`` of each document, with words to both sides."""
+    """The suffixes at ``spots`` of each document, with words to both sides.
+
+    Places of a document with the same words around them share a row: ``at`` has them all.
+    """
     before, after = length - GRAM, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +98,16 @@ def _in_context(docs: DataFrame, length: int) -> DataFrame:
                 words = _words(text)
                 grams = _gram_hashes(words).view(np.int64)
                 padded = np.concatenate([np.zeros(before, np.uint32), words, np.zeros(after, np.uint32)]).astype(">u4")
+                places: dict[tuple, list[int]] = {}
                 for pos in sorted(spots):
                     left = padded[pos : pos + before][::-1].tobytes()
                     right = padded[pos + before : pos + before + after].tobytes()
-                    out.append((int(grams[pos]), row, doc, pos, left, min(pos, before), right, min(len(words) - pos, after)))
+                    around = left, min(pos, before), right, min(len(words) - pos, after)
+                    places.setdefault((int(grams[pos]), *around), []).append(pos)
+                out += [(key, row, doc, at, *around) for (key, *around), at in places.items()]
             for s in range(0, len(out), 4096):
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
-                names = ["key", "row", "doc_id", "pos", "left", "n_left", "right", "n_right"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+                names = ["key", "row", "doc_id", "at", "left", "n_left", "right", "n_right"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[s : s + 4096]), kinds)], names=names)
 
     return docs.select("row", "doc_id", "text", "spots").mapInArrow(run, _CONTEXT)
@@ -131,16 +138,23 @@ def _matches(rows: pa.Table, length: int) -> pa.Table:
     left = _common(rows, "left", a, b, length - GRAM)
     ok = left + right >= length
     a, b, left, right = a[ok], b[ok], left[ok], right[ok]
-    pos = rows.column("pos").to_numpy().astype(np.int64)
+    places = rows.column("at").combine_chunks()
+    sizes = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, begins = places.flatten().to_numpy().astype(np.int64), np.cumsum(sizes) - sizes
+    own, other = np.concatenate([a, b]), np.concatenate([b, a])
+    left, right = np.tile(left, 2), np.tile(right, 2)
+    pair = np.repeat(np.arange(len(own)), sizes[own])
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+    own, other, left, right = own[pair], other[pair], left[pair], right[pair]
+    pos = flat[begins[own] + nth]
     ids = rows.column("doc_id")
-    both = [np.concatenate(c) for c in ((a, b), (b, a))]
     return pa.table(
         {
-            "row": pa.array(doc[both[0]]),
-            "doc_id": ids.take(pa.array(both[0])).combine_chunks(),
-            "start": pa.array(np.concatenate([pos[a] - left, pos[b] - left])),
-            "end": pa.array(np.concatenate([pos[a] + right, pos[b] + right])),
-            "partner_id": ids.take(pa.array(both[1])).combine_chunks(),
+            "row": pa.array(doc[own]),
+            "doc_id": ids.take(pa.array(own)).combine_chunks(),
+            "start": pa.array(pos - left),
+            "end": pa.array(pos + right),
+            "partner_id": ids.take(pa.array(other)).combine_chunks(),
         }
     )
 
@@ -192,11 +206,14 @@ def _border(rows: pa.Table, side: int) -> pa.Table:
     return rows.slice(other[-1] if len(other) else 0)
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
 def _as_output(spans: pa.Table | None, borders: pa.Table | None) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _SPANS.split(", ")]
     if spans is not None:
         for batch in spans.to_batches():
-            kind = pa.struct([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in _CONTEXT.split(", ")])
+            kind = pa.struct([(c.split()[0], _KINDS[c.split()[1]]) for c in _CONTEXT.split(", ")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, kind)], names=[*names, "border"])
     if borders is not None:
         for batch in borders.combine_chunks().to_batches():
@@ -215,8 +232,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spots = kept.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # Rows that repeat id and text come once: the same row, the same suffixes.
     found = materialize(_in_context(docs.join(spots, "row"), length), "contexts")
-    spans = _neighbours(found, ["key", "right", "left", "doc_id", "row", "pos"], length).union(
-        _neighbours(found, ["key", "left", "right", "doc_id", "row", "pos"], length)
+    spans = _neighbours(found, ["key", "right", "left", "doc_id", "row", "n_left"], length).union(
+        _neighbours(found, ["key", "left", "right", "doc_id", "row", "n_left"], length)
     )
     spans = spans.groupBy("row", "doc_id", "start", "end").agg(F.min("partner_id").alias("partner_id"))
     earlier = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
