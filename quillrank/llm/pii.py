@@ -47,7 +47,7 @@ _LOOSE = {
     ),
     "ip": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "card": re.compile(r"(?<![\w.+-])[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w.+/-])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.+/-])(?:(?:\+|00)[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![\w-])"),
 }
 #: What a text must contain for a loose pattern to be worth trying.
 _HINT = {"email": re.compile(r"[\[({]\x20?(?:at|AT)\b"), "ip": re.compile(r":[0-9A-Fa-f]{1,4}:"), "card": None, "phone": None}
@@ -123,12 +123,15 @@ def candidates(text: str) -> list[tuple[int, str, int, bool]]:
         return []
     base = base_spans(text)
     out = [(s, k, e, True) for s, k, e in base]
+    taken = bytearray(len(text))
+    for s, _, e in base:
+        taken[s:e] = b"\1" * (e - s)
     for kind, pattern in _LOOSE.items():
         hint = _HINT[kind]
         if hint and not hint.search(text):
             continue
         for m in pattern.finditer(text):
-            if all(m.end() <= s or e <= m.start() for s, _, e in base):
+            if taken.find(1, m.start(), m.end()) < 0:
                 out.append((m.start(), kind, m.end(), False))
     return sorted(out, key=lambda c: (c[0], KINDS.index(c[1]), c[2]))
 
