@@ -229,6 +229,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select("doc_id", "text").filter("text is not null").withColumn("row", F.xxhash64("doc_id", "text"))
     kept = materialize(_suffixes(docs, length), "suffixes")
     shared = kept.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b").select("key")
+    shared = materialize(shared, "shared")  # so that the join's sides are plain shuffles, which Spark can split
     spots = kept.join(shared, "key", "left_semi").groupBy("row").agg(F.collect_set("pos").alias("spots"))
     # Rows that repeat id and text come once: the same row, the same suffixes.
     found = materialize(_in_context(docs.join(spots, "row"), length), "contexts")
