@@ -352,3 +352,38 @@ def test_pipeline_edge_cases(spark):
     known = corpus_pipeline.keep_known_languages(spark, docs, SMALL)
     assert {r["doc_id"] for r in known.collect()} >= {None, 5, 6, 8} and known.filter("doc_id <= 3").count() == 0
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
+    rng = np.random.default_rng(3)
+    rows, n = [], 400
+    for i in range(12):  # 0 to 3 of 60 words changed, far apart: similarity 1, 51/61, 46/66 and 41/71
+        words = [f"w{j}" for j in rng.integers(0, 5000, 60)]
+        for k in range(4):
+            changed = [f"new{i}" if j in (10, 30, 50)[:k] else w for j, w in enumerate(words)]
+            rows.append((4 * i + k, " ".join(changed), "en", "a"))
+    base = [f"v{j}" for j in range(60)]  # a group of copies, linked through each other
+    for k in range(n):
+        changed = [f"x{k}" if j == k % 60 else w for j, w in enumerate(base)]
+        rows.append((1000 + k, " ".join(changed), "en", "a"))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(56)} for i, t, _, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    least = {i: i for i in sets}
+    for _ in range(60):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
+
+
+def test_pipeline_near_copies_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for _ in links:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
