@@ -387,3 +387,10 @@ def test_pipeline_near_copies_of_all_documents(spark):
             least[a] = least[b] = min(least[a], least[b])
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
+
+
+def test_pipeline_keeps_both_documents_of_an_id(spark):
+    rows = [(9, "one clean text about the sea and its ships", "en", "a"), (9, "another clean text on mountains and their snow", "en", "a")]
+    rows += [(i, f"text number {i} has words of its own t{i} u{i} v{i}", "en", "a") for i in (9, 9, 10)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), SMALL)
+    assert rows_of(kept, "doc_id", "text") == sorted({r[:2] for r in rows}, key=repr)
