@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillrank.llm.common import materialize
+
 ORDERS = (3, 4)
 SLOT_BITS = 20
 #: Code points worked on at once.
@@ -105,20 +107,25 @@ def fit(labelled: DataFrame, texts_per_language: int = 3000, grams_per_language:
     """Learn filters from ``text, lang`` of ``labelled``.
 
     Two bounds keep the fit small whatever the corpus: about ``texts_per_language``
-    texts of each language, chosen by a hash of the text, and the most frequent
-    ``grams_per_language`` n-grams of each order. Counts of texts cover all rows.
+    different texts of each language, chosen by a hash of the text and each taken once,
+    and the most frequent ``grams_per_language`` n-grams of each order. Counts of texts
+    cover all rows.
     """
     spark = labelled.sparkSession
     rows = labelled.filter("lang is not null and text is not null").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = rows.select("text", "lang", F.xxhash64("text").alias("hash"))
+    texts = materialize(hashed.groupBy("lang", "hash").agg(F.count("*").alias("n")), "texts")
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect()
+    sizes = {r["lang"]: r["n"] for r in counts}
     languages = sorted(sizes, key=lambda x: x.encode("utf-8", "surrogatepass"))
     words = max(1, -(-len(languages) // 64))
     slots = np.zeros((words, 1 << SLOT_BITS), dtype=np.uint64)
     if not languages:
         return LanguageFilters([], slots, np.zeros(0), "und")
-    shares = spark.createDataFrame([(k, min(1.0, texts_per_language / n)) for k, n in sizes.items()], "lang string, share double")
-    draw = (F.crc32("text") % 1_000_003) / 1_000_003
-    chosen = rows.join(F.broadcast(shares), "lang").filter(draw <= F.col("share")).select("text", "lang")  # a row per language
+    shares = spark.createDataFrame([(r["lang"], min(1.0, texts_per_language / r["different"])) for r in counts], "lang string, share double")
+    draw = F.pmod("hash", F.lit(1_000_003)) / 1_000_003
+    chosen = hashed.join(F.broadcast(shares), "lang").filter(draw <= F.col("share"))  # a row per language
+    chosen = chosen.groupBy("lang", "hash").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
@@ -130,7 +137,7 @@ def fit(labelled: DataFrame, texts_per_language: int = 3000, grams_per_language:
                     for n, (_, h) in zip(ORDERS, _grams(codes, limit)):
                         gram, times = np.unique(h, return_counts=True)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * len(gram)), pa.array(np.full(len(gram), n, dtype=np.int32)), pa.array(gram.view(np.int64)), pa.array(times)],
+                            [pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), n, dtype=np.int32)), pa.array(gram.view(np.int64)), pa.array(times)],
                             names=["lang", "n", "gram", "times"],
                         )
 

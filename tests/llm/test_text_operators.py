@@ -82,6 +82,16 @@ def test_long_text_in_slices_counts_every_gram_once():
     assert sliced == {n: len(at) for n, (at, _) in zip(langid.ORDERS, langid._grams(whole, len(whole)))}
 
 
+def test_languages_of_few_texts_with_many_copies(spark):
+    pool = [("".join(chr(97 + (i * 7 + j * j) % 26) for j in range(30)), f"l{i}") for i in range(6)]
+    rows = [(1, text, lang, "a") for text, lang in pool for _ in range(400)]
+    rows += [(2, text[::-1], lang, "a") for text, lang in pool]
+    model = langid.fit(documents(spark, rows), texts_per_language=20)
+    assert (model.fill > 0).all()
+    found = langid.predict(documents(spark, [(i, text, None, "a") for i, (text, _) in enumerate(pool)]), model).collect()
+    assert all(r["score"] > 0 and r["lang_pred"] == f"l{r['doc_id']}" for r in found)
+
+
 # SimHash
 
 
