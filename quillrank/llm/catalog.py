@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quillrank.llm import ann, langid, maxent, mixing, neardup, packing, pii, sharding, simhash, suffixes
+from quillrank.llm import ann, divergence, langid, maxent, merkle, mixing, neardup, packing, pii, quality, sharding, simhash, suffixes
 from quillrank.llm.common import id_crc32
 
 
@@ -64,6 +64,22 @@ def op10_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_spans(_table(spark, folder, "documents"))
 
 
+def op11_chunk_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+def op12_window_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    proofs = merkle.manifest(_table(spark, folder, "documents"), merkle.tampers(id_crc32()))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held = quality.held_out(id_crc32())
+    model = quality.fit(docs.filter(~held), _table(spark, folder, "labels"))
+    return quality.score(docs.withColumn("held_out", held), model)
+
+
 def registry() -> dict:
     """name → (query, SQL or None)."""
     return {
@@ -77,5 +93,8 @@ def registry() -> dict:
         "op8_dominance_packing": (op8_dominance_packing, None),
         "op9_bitmask_langid": (op9_bitmask_langid, None),
         "op10_sparse_suffixes": (op10_sparse_suffixes, None),
+        "op11_chunk_divergence": (op11_chunk_divergence, divergence.SQL),
+        "op12_window_merkle": (op12_window_merkle, merkle.SQL),
+        "op13_compression_quality": (op13_compression_quality, None),
         "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     }
