@@ -24,11 +24,14 @@ one source has no pairs. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,77 +45,174 @@ LEAST = 10
 #: Terms that are listed for each group.
 TOP = 10
 SCALE = 1_000_000_000
-#: Entries a task remembers before it hands them on.
-REMEMBERED = 500_000
+#: Bytes of texts whose chunks are counted at once, and entries of a bucket after which its pieces are combined.
+PORTION = 16 << 20
+COMBINED = 500_000
 #: Terms (about) and sources of a tile.
 BUCKET = 4096
 BLOCK = 128
-
-
-def chunk_counts(docs: DataFrame, least: int) -> DataFrame:
-    """``chunk, lang, source, n, docs, ids`` of ``docs(lang, source, text)``, summed over as many documents as a task remembers.
-
-    ``n`` occurrences in ``docs`` documents, which ``ids`` names where they are fewer than ``least``.
+PIECE = pa.schema(
+    {"chunk": pa.string(), "lang": pa.string(), "source": pa.string(), "n": pa.int64(), "docs": pa.int64(), "ids": pa.list_(pa.int64())}
+)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(sorted_)), dtype=bool), sorted_[1:] != sorted_[:-1]]))
+
+
+def _named(ids: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> pa.ListArray:
+    """Lists of ``ids``, ``sizes`` to each; null where not ``known``."""
+    keep = np.repeat(known, sizes)
+    lists = pa.ListArray.from_arrays(pa.array(_offsets(np.where(known, sizes, 0))), pa.array(ids[keep]))
+    return pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(~known)) if len(known) else lists
+
+
+def _code(*columns: pa.Array) -> tuple[np.ndarray, int]:
+    """One number for each combination of ``columns``, and how many may occur."""
+    code, many = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for column in columns:
+        own = column.dictionary_encode()
+        code = code * len(own.dictionary) + own.indices.to_numpy(zero_copy_only=False)
+        many *= len(own.dictionary)
+    return code, many
+
+
+def _counted(docs: pa.Table, least: int) -> pa.RecordBatch:
+    """Chunks of whole documents: occurrences and documents in each language and source."""
+    lang, source, row, text = (docs.column(c).combine_chunks() for c in ("lang", "source", "row", "text"))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    chunks = lists.flatten().dictionary_encode()
+    names, code = chunks.dictionary, chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    many = max(1, len(names))
+    # Once for each document, then for each group of documents.
+    both = np.repeat(np.arange(len(text)), np.diff(lists.offsets.to_numpy())) * many + code
+    both.sort(kind="stable")
+    first = _runs(both)
+    times, doc, code = np.diff(np.append(first, len(both))), both[first] // many, both[first] % many
+    real = pc.not_equal(names, "").to_numpy(zero_copy_only=False)[code] if len(names) else np.zeros(0, dtype=bool)
+    times, doc, code = times[real], doc[real], code[real]
+    group, groups = _code(lang, source)
+    key = code * max(1, groups) + group[doc]
+    order = np.argsort(key, kind="stable")
+    doc, code = doc[order], code[order]
+    first = _runs(key[order])
+    sizes = np.diff(np.append(first, len(order)))
+    at = doc[first]
+    return pa.RecordBatch.from_arrays(
+        [
+            names.take(pa.array(code[first])), lang.take(pa.array(at)), source.take(pa.array(at)),
+            pa.array(np.add.reduceat(times[order], first) if len(first) else np.zeros(0, dtype=np.int64)), pa.array(sizes.astype(np.int64)),
+            _named(row.to_numpy()[doc], sizes, sizes < least),
+        ],
+        schema=PIECE,
+    )
+
+
+def _combined(pieces: pa.Table, least: int) -> pa.Table:
+    """Each chunk once for each language and source, in order of chunks."""
+    chunk, lang, source, n, docs, ids = (pieces.column(c).combine_chunks() for c in PIECE.names)
+    chunks = chunk.dictionary_encode()
+    group, groups = _code(lang, source)
+    key = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, groups) + group
+    order = np.argsort(key, kind="stable")
+    first = _runs(key[order])
+    if not len(first):
+        return pieces
+    n, docs = (np.add.reduceat(x.to_numpy()[order], first) for x in (n, docs))
+    own = np.repeat(key, pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+    named = np.argsort(own, kind="stable")
+    sizes = np.diff(np.append(np.searchsorted(own[named], key[order][first]), len(named)))
+    at = pa.array(order[first])
+    known = _named(ids.flatten().to_numpy()[named], sizes, docs < least)
+    return pa.Table.from_arrays([chunk.take(at), lang.take(at), source.take(at), pa.array(n), pa.array(docs), known], schema=PIECE)
+
+
+def chunk_counts(docs: DataFrame, least: int, buckets: int) -> DataFrame:
+    """``bucket, piece``: chunks of a task's documents as Arrow batches, dealt to ``buckets`` by a hash of the chunk.
+
+    A batch holds ``chunk, lang, source, n, docs, ids``: ``n`` occurrences in ``docs``
+    documents, which ``ids`` names where they are fewer than ``least``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), found in held.items():
-                entries, size = list(found.values()), len(found)
-                documents = np.fromiter((e[1] for e in entries), dtype=np.int64, count=size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(list(found), pa.binary()).cast(pa.string()),
-                        pa.array([lang], pa.string()).take(pa.array(np.zeros(size, dtype=np.int32))),
-                        pa.array([source], pa.string()).take(pa.array(np.zeros(size, dtype=np.int32))),
-                        pa.array(np.fromiter((e[0] for e in entries), dtype=np.int64, count=size)),
-                        pa.array(documents),
-                        pa.array([e[2:] if e[1] < least else None for e in entries], pa.list_(pa.int64())),
-                    ],
-                    names=["chunk", "lang", "source", "n", "docs", "ids"],
-                )
-            held.clear()
-
-        size = 0
+        packed = zstandard.ZstdCompressor(level=1)
+
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            found = _counted(pa.Table.from_batches(held), least)
+            names = found.column(0).dictionary_encode()
+            bucket = np.array([xxhash.xxh64_intdigest(x) % buckets for x in names.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int64)
+            bucket = bucket[names.indices.to_numpy(zero_copy_only=False)] if len(found) else bucket
+            order = np.argsort(bucket, kind="stable")
+            first = _runs(bucket[order])
+            found = found.take(pa.array(order))
+            ends = np.append(first, len(order))
+            pieces = [packed.compress(found.slice(a, b - a).take(pa.array(np.arange(b - a))).serialize()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][first].astype(np.int32)), pa.array(pieces, pa.binary())], names=["bucket", "piece"])
+
+        held, size = [], 0
         for batch in batches:
-            langs, sources, rows = (batch.column(i).to_pylist() for i in (0, 1, 2))
-            texts = batch.column(3).cast(pa.binary()).to_pylist()
-            for lang, source, row, text in zip(langs, sources, rows, texts):
-                found = held.setdefault((lang, source), {})
-                before = len(found)
-                for chunk, n in Counter(text.lower().split()).items():  # bytes: A-Z only, ASCII white space only
-                    entry = found.get(chunk)
-                    if entry is None:
-                        found[chunk] = [n, 1, row]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                        if entry[1] < least:
-                            entry.append(row)
-                size += len(found) - before
-                if size > REMEMBERED:
-                    yield from out()
-                    size = 0
-        yield from out()
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= PORTION:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
 
     rows = docs.select("lang", "source", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, "chunk string, lang string, source string, n long, docs long, ids array<long>")
+    return rows.mapInArrow(run, "bucket int, piece binary")
 
 
 def factorized(pieces: DataFrame, least: int) -> DataFrame:
-    """``lang, source, term, n, docs, ids``: each distinct chunk is tokenized once and its terms joined to where it was met.
+    """``lang, source, term, n, docs, ids``: each distinct chunk is tokenized once, and its terms joined to where it was met.
 
-    A chunk's row lists its groups: one entry each, as many as the pairs compared at most.
+    A bucket's pieces follow each other and are combined as they come, so a task holds
+    the distinct chunks of one bucket.
     """
-    whole = F.sum("docs") < least
-    counted = pieces.repartition("chunk").groupBy("chunk", "lang", "source").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.when(whole, F.flatten(F.collect_list("ids"))).alias("ids")
-    )
-    chunks = counted.groupBy("chunk").agg(F.collect_list(F.struct("lang", "source", "n", "docs", "ids")).alias("uses"))
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    tokenized = chunks.select("uses", terms.alias("terms")).filter(F.size("terms") > 0)
-    return tokenized.select(F.explode("uses").alias("use"), "terms").select("use.*", F.explode("terms").alias("term"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(TERM).findall
+        unpacked = zstandard.ZstdDecompressor()
+
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = _combined(pa.Table.from_batches(held), least)
+            chunks = table.column("chunk").combine_chunks().dictionary_encode()
+            terms = [find(chunk) for chunk in chunks.dictionary.to_pylist()]  # lower-cased before
+            sizes = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
+            flat = pa.array([t for own in terms for t in own], pa.string())
+            code = chunks.indices.to_numpy(zero_copy_only=False)
+            uses = sizes[code]
+            at = np.repeat(np.arange(len(code)), uses)
+            starts = (np.cumsum(sizes) - sizes)[code]
+            term = np.arange(len(at)) - np.repeat(np.cumsum(uses) - uses, uses) + np.repeat(starts, uses)
+            whole = table.combine_chunks().to_batches()[0] if len(table) else pa.RecordBatch.from_pylist([], PIECE)
+            whole = whole.take(pa.array(at))
+            return pa.RecordBatch.from_arrays(
+                [whole.column("lang"), whole.column("source"), flat.take(pa.array(term)), *(whole.column(c) for c in ("n", "docs", "ids"))],
+                names=["lang", "source", "term", "n", "docs", "ids"],
+            )
+
+        held, size, now = [], 0, None
+        for batch in batches:
+            for bucket, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and bucket != now:
+                    yield out(held)
+                    held, size = [], 0
+                now = bucket
+                held.append(pa.ipc.read_record_batch(pa.py_buffer(unpacked.decompress(piece)), PIECE))
+                size += len(held[-1])
+                if size > 2 * COMBINED and len(held) > 1:
+                    held = _combined(pa.Table.from_batches(held), least).combine_chunks().to_batches()
+                    size = sum(map(len, held)) // 2  # what is distinct may grow beyond the bound
+        if held:
+            yield out(held)
+
+    # Every bucket in one task, its pieces one after the other.
+    dealt = pieces.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "lang string, source string, term string, n long, docs long, ids array<long>")
 
 
 def kept_terms(spread: DataFrame, counts: DataFrame, least: int) -> DataFrame:
@@ -207,7 +307,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """
     none = F.lit("")
     rows = docs.select(*[F.coalesce(F.col(c), none).alias(c) for c in ("lang", "source", "text")])
-    spread = materialize(factorized(chunk_counts(rows, least), least), "terms")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = materialize(factorized(chunk_counts(rows, least, buckets), least), "terms")
     counts = spread.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.max("docs").alias("fewest"), F.sum("docs").alias("most"))
     counts = materialize(counts, "counts")
     kept = materialize(kept_terms(spread, counts, least), "kept")
