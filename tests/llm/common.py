@@ -26,3 +26,24 @@ ODD = [
 
 def rows_of(df, *columns):
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
+
+
+def brute_groups(texts, least=0.8):
+    """The smallest id reachable from each of ``(id, text)`` by five-word shingles of similarity ``least``."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both / (len(sets[a]) + len(sets[b]) - both) >= least:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillrank.llm import ann, catalog, mixing, neardup, packing, sharding
 
-from .common import ODD, SMALL, documents, rows_of
+from .common import ODD, SMALL, brute_groups, documents, rows_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -328,9 +328,9 @@ def test_pipeline_stages_keep_what_they_should(spark, small):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     known = corpus_pipeline.keep_known_languages(spark, docs, SMALL)
     assert rows_of(known) == rows_of(docs.select(*corpus_pipeline.COLUMNS))
-    groups = {r["doc_id"]: r["component_id"] for r in catalog.op5_deletion_variant_simhash(spark, SMALL).collect()}
+    least = brute_groups((i, r["text"]) for i, r in small.items())
     kept = corpus_pipeline.drop_near_duplicates(spark, known, SMALL)
-    assert {r["doc_id"] for r in kept.collect()} == set(groups.values()) and kept.count() == len(set(groups.values()))
+    assert {r["doc_id"] for r in kept.collect()} == set(least.values()) and kept.count() == len(set(least.values()))
     clean = corpus_pipeline.redact_personal_data(spark, kept, SMALL)
     assert clean.count() == kept.count() and rows_of(clean.filter(F.col("text").rlike(r"@mail[0-9]\.example"))) == []
     mixed = corpus_pipeline.mix_sources(spark, clean, SMALL)
@@ -366,25 +366,14 @@ def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark):
     for k in range(n):
         changed = [f"x{k}" if j == k % 60 else w for j, w in enumerate(base)]
         rows.append((1000 + k, " ".join(changed), "en", "a"))
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(56)} for i, t, _, _ in rows}
-    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    least = {i: i for i in sets}
-    for _ in range(60):
-        for a, b in links:
-            least[a] = least[b] = min(least[a], least[b])
+    least = brute_groups((i, t) for i, t, _, _ in rows)
     kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), SMALL)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
 
 def test_pipeline_near_copies_of_all_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
-    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in texts.items()}
-    least = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
-    for _ in links:
-        for a, b in links:
-            least[a] = least[b] = min(least[a], least[b])
+    least = brute_groups((r["doc_id"], r["text"]) for r in docs.collect())
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
