@@ -174,9 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, texts: int = TEXTS, blocks: int = BL
     prior = counts.get(1, 0) / total if total else 0.5
     if len(counts) < 2:
         return Model(prior=prior)
+    # Half of a class at most; the bound of both is said first, so that no task sees more than it of a class.
+    bounds = {q: min(texts, -(-counts[q] // 2)) for q in (0, 1)}
     place = F.row_number().over(Window.partitionBy("quality").orderBy("hash", "doc_id"))
-    half = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("quality")) / 2))
-    drawn = known_.withColumns({"place": place, "half": half}).filter(F.col("place") <= F.least(F.lit(texts), F.col("half"))).select("doc_id", "quality")
+    first = known_.withColumn("place", place).filter(F.col("place") <= max(bounds.values()))
+    drawn = first.filter(F.col("place") <= F.when(F.col("quality") == 1, bounds[1]).otherwise(bounds[0])).select("doc_id", "quality")
     drawn = materialize(drawn, "drawn")
     found = _sampled(docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(drawn), "doc_id"), blocks)  # at most ``texts`` of two classes
     if not (found[0] and found[1]):
