@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillrank.catalog.views import (
+    EDGE_SQL,
     ITEMS_SQL,
     RULES,
     SCORED_SQL,
@@ -18,7 +19,8 @@ from quillrank.catalog.views import (
     term_sql,
 )
 from quillrank.config import Settings, rules_frame, shipped_settings
-from quillrank.operators import scoring
+from quillrank.operators import phrase_index, scoring
+from quillrank.session import shared_folder
 
 SHIPPED = shipped_settings()
 # The same items after one rule was dropped and one added: old tags must stay.
@@ -62,6 +64,28 @@ def phrase_hits(spark, folder):
     return counts.join(rules, "rule").select("rule", "weight", "tags", "term", "documents")
 
 
+def phrase_hits_table(spark, folder):
+    """``phrase_hits`` with the rules in a table: terms are joined, none is in the plan."""
+    path = shared_folder(spark, "rules")
+    rules_frame(spark, RULES).write.parquet(path)
+    rules = spark.read.parquet(path)
+    hits = phrase_index.phrase_hits(table(spark, folder, "documents"), "doc_id", "text", rules)
+    counts = hits.groupBy("rule", "term").agg(F.count("*").alias("documents"))
+    named = rules.select(F.col("name").alias("rule"), "weight", F.array_join("tags", "|").alias("tags"))
+    return counts.join(named, "rule").select("rule", "weight", "tags", "term", "documents")
+
+
+def benchmark_phrases(spark, folder):
+    """A rule for each benchmark item, its terms three words each: thousands of them, looked up in all documents."""
+    items = table(spark, folder, "benchmark").withColumn("words", F.split("text", " "))
+    terms = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 3), " "))
+    rules = items.select(
+        F.col("item_id").alias("rule_no"), F.col("item_id").cast("string").alias("name"), F.lit(1.0).alias("weight"), terms.alias("terms")
+    )
+    hits = phrase_index.phrase_hits(table(spark, folder, "documents"), "doc_id", "text", rules)
+    return hits.groupBy("rule").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("term_no").alias("terms"))
+
+
 def rule_totals(spark, folder):
     return scoring.rule_totals(table(spark, folder, "documents"), "doc_id", "text", RULES)
 
@@ -94,6 +118,20 @@ h AS MATERIALIZED (SELECT doc_id, {hits} FROM d)
 SELECT doc_id, {total} AS total, concat_ws('; ', {reasons}) AS reason FROM h"""
 
 
+_BENCHMARK_SQL = f"""
+WITH w AS (SELECT item_id, string_split(text, ' ') AS words FROM benchmark),
+t AS (
+  SELECT item_id, i AS term_no, {fold_sql("array_to_string(words[i:i + 2], ' ')")} AS term
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i)),
+d AS MATERIALIZED (SELECT doc_id, {fold_sql('text')} AS t FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT term, regexp_extract(term, '[\\p{{L}}\\p{{N}}_]+') AS word FROM t),
+dw AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM d),
+hit AS MATERIALIZED (
+  SELECT g.term, d.doc_id FROM grams g JOIN dw USING (word) JOIN d USING (doc_id)
+  WHERE contains(d.t, g.term) AND regexp_matches(d.t, '(^|{EDGE_SQL})' || regexp_escape(g.term) || '($|{EDGE_SQL})'))
+SELECT CAST(item_id AS VARCHAR) AS rule, count(*) AS hits, count(DISTINCT doc_id) AS documents, count(DISTINCT term_no) AS terms
+FROM t JOIN hit USING (term) GROUP BY item_id"""
+
 QUERIES = {
     "score_items": (score_items, f"WITH {SCORED_SQL} {_FLAT_SQL} scored"),
     "score_shipped_rules": (
@@ -112,4 +150,6 @@ again_in AS (SELECT i.*, s.tags AS old_tags FROM (SELECT * EXCLUDE (old_tags) FR
     ),
     "phrase_hits": (phrase_hits, _phrase_sql()),
     "rule_totals": (rule_totals, _rule_totals_sql()),
+    "phrase_hits_table": (phrase_hits_table, _phrase_sql()),
+    "benchmark_phrases": (benchmark_phrases, _BENCHMARK_SQL),
 }
