@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scoring", "selection", "extraction", "state", "reports")
+_MODULES = ("scoring", "selection", "extraction", "state", "streams", "reports")
 
 
 def registry() -> dict:

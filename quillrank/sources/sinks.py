@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,8 +86,10 @@ def write_source_preview(sources: DataFrame, path: str, mode: str = "dry-run") -
 
 _OUTBOX = (
     "kind string, _key string, url string, title string, body string, labels array<string>, "
-    "issue_number bigint, issue_url string, node_id string"
+    "issue_number bigint, issue_url string, node_id string, queued_at timestamp"
 )
+#: What ``streaming.changes.answered`` says of queued items.
+SETTLED = "kind string, _key string, url string, run string, queued_at timestamp, status string, answered_at timestamp"
 
 
 def outbox_rows(batch: DataFrame, site) -> DataFrame:
@@ -106,17 +110,50 @@ def outbox_rows(batch: DataFrame, site) -> DataFrame:
     )
 
 
-def write_outbox(batch: DataFrame, site, path: str, run_id: str) -> None:
+def write_outbox(batch: DataFrame, site, path: str, run_id: str, at: datetime | None = None) -> None:
     """Work items to be done, one folder per run; writing a run again replaces it."""
-    outbox_rows(batch, site).write.mode("overwrite").parquet(f"{path}/run={run_id}")
+    rows = outbox_rows(batch, site).withColumn("queued_at", F.lit(at).cast("timestamp"))
+    rows.write.mode("overwrite").parquet(f"{path}/run={run_id}")
 
 
-def queued(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """``kind, _key, url`` of all work items that runs other than ``run_id`` put into the outbox."""
+def _outbox(spark: SparkSession, path: str) -> DataFrame:
     try:
-        rows = spark.read.schema(f"{_OUTBOX}, run string").parquet(path)
+        return spark.read.schema(f"{_OUTBOX}, run string").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], f"{_OUTBOX}, run string")
-    return rows.filter(F.col("run") != run_id).select("kind", "_key", "url")
+        return spark.createDataFrame([], f"{_OUTBOX}, run string")
+
+
+def outbox_status(spark: SparkSession, path: str, settled: DataFrame | None = None) -> DataFrame:
+    """``run, kind, _key, url, status`` of all work items: waiting, acknowledged, or returned.
+
+    ``settled`` (``SETTLED``) tells what became of them. An item is returned when its
+    creation failed or nobody answered; any success among its answers counts.
+    """
+    rows = _outbox(spark, path).select("run", "kind", "_key", "url")
+    if settled is None:
+        return rows.withColumn("status", F.lit("waiting"))
+    item = ["run", "kind", "_key", "url"]
+    known = settled.groupBy(*item).agg(F.bool_or(F.col("status") == "done").alias("done"))
+    status = F.when(F.col("done"), "acknowledged").when(~F.col("done"), "returned").otherwise("waiting")
+    return rows.join(known, item, "left").select(*item, status.alias("status"))
+
+
+def queued(spark: SparkSession, path: str, run_id: str, settled: DataFrame | None = None) -> DataFrame:
+    """``kind, _key, url`` of the work items that runs other than ``run_id`` put into the outbox and that did not come back."""
+    rows = outbox_status(spark, path, settled).filter((F.col("run") != run_id) & (F.col("status") != "returned"))
+    return rows.select("kind", "_key", "url")
+
+
+def prune_outbox(spark: SparkSession, path: str, settled: DataFrame) -> list[str]:
+    """Delete the folders of runs in which nothing waits, and name them.
+
+    To be called once the state has the issues of what was acknowledged.
+    """
+    open_ = outbox_status(spark, path, settled).groupBy("run").agg(F.bool_or(F.col("status") == "waiting").alias("waits"))
+    done = sorted(r["run"] for r in open_.filter("not waits").collect())  # one name a run
+    for run in done:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run={run}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return done

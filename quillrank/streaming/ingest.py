@@ -54,7 +54,20 @@ def merge_pending(store: SnapshotStore, settings: Settings, stream: str, name: s
     if last is None:
         return store.version()
     new = last_writes(rows, ["batch"])
-    return store.update(lambda state: upsert(state, new, settings.site, (), collapsed=True), f"{prefix}{last}")
+    version = store.update(lambda state: upsert(state, new, settings.site, (), collapsed=True), f"{prefix}{last}")
+    _drop_pending(store, stream, last)
+    return version
+
+
+def _drop_pending(store: SnapshotStore, stream: str, last: int) -> None:
+    """Delete the batches of ``stream`` that a committed merge has taken up."""
+    spark = store.spark
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store.path}/pending/stream={stream}")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in system.listStatus(folder):
+        number = entry.getPath().getName().removeprefix("batch=")
+        if number.isdigit() and int(number) <= last:
+            system.delete(entry.getPath(), True)
 
 
 def run_into_store(
@@ -87,13 +100,21 @@ def run_into_store(
     return merge_pending(store, settings, _stream_id(spark, checkpoint), name)
 
 
-def queue_work(store: SnapshotStore, settings: Settings, outbox: str, run_id: str, with_project: bool = False) -> None:
-    """Queue a bounded batch of work on the stored items, nothing that waits already."""
-    waiting = queued(store.spark, outbox, run_id)
+def queue_work(
+    store: SnapshotStore,
+    settings: Settings,
+    outbox: str,
+    run_id: str,
+    with_project: bool = False,
+    at: datetime | None = None,
+    settled: DataFrame | None = None,
+) -> None:
+    """Queue a bounded batch of work on the stored items, nothing that waits already; what ``settled`` returned may be taken again."""
+    waiting = queued(store.spark, outbox, run_id, settled)
     batch = backfill_batch(
         store.read(), settings.batch_limit, settings.eligible, settings.start_year, settings.end_year, with_project, waiting
     )
-    write_outbox(batch, settings.site, outbox, run_id)
+    write_outbox(batch, settings.site, outbox, run_id, at)
 
 
 def ingest_pages(
@@ -108,5 +129,5 @@ def ingest_pages(
     """Crawl arriving pages; with ``outbox`` also queue a bounded batch once they are merged."""
     version = run_into_store(stream, store, checkpoint, lambda batch: crawl_items(batch, settings, run_ts), settings, name)
     if outbox and version:
-        queue_work(store, settings, outbox, f"{name}-v{version}")
+        queue_work(store, settings, outbox, f"{name}-v{version}", at=run_ts)
     return version
