@@ -121,6 +121,20 @@ def snapshot_roundtrip(spark, folder):
     return store.read().select("url", "title", "score", "decision", "watch_status")
 
 
+_COMPARED = ["title", "summary", "conference_year", "speaker", "company", "view_count"]
+
+
+def changes_between(spark, folder):
+    """Two runs into a store, the second without some items: what happened to each row."""
+    first, second = _two_runs(spark, folder)
+    store = SnapshotStore(spark, shared_folder(spark, "items"))
+    store.update(lambda state: merge.upsert(state, _writes(first), SITE, ["doc_id"]), "first")
+    kept = F.col("view_count").isNull() | (F.col("view_count") % 10 != 3)
+    store.update(lambda state: merge.upsert(state, _writes(second), SITE, ["doc_id"]).filter(kept), "second")
+    rows = store.changes(1, 2, _COMPARED)
+    return rows.select("url", "kind", F.array_join("changed", "|").alias("changed"))
+
+
 def _label_events(spark, folder, *columns):
     items = item_view(spark, folder).select("doc_id", "url")
     labels = table(spark, folder, "labels").join(items, "doc_id")
@@ -325,6 +339,19 @@ SELECT m.key AS url, m.link AS presentation_url, m.title, m.summary, m.year, c.c
   CAST(m.published_date AS VARCHAR) AS published, array_to_string(m.topics, '|') AS topics,
   CASE WHEN m.key IN (SELECT key FROM last1) THEN '2024-01-01 00:00:00' ELSE '2025-01-01 00:00:00' END AS fetched
 FROM merged m LEFT JOIN cy c ON m.key = c.key LEFT JOIN marks k ON m.key = k.key""",
+    ),
+    "changes_between": (
+        changes_between,
+        f"""WITH {_TWO_RUNS_SQL},
+cy1 AS (SELECT key, arg_max(conference_year, doc_id) AS conference_year FROM run1 WHERE conference_year IS NOT NULL GROUP BY key),
+was AS (SELECT l.* REPLACE (c.conference_year AS conference_year) FROM last1 l LEFT JOIN cy1 c ON l.key = c.key),
+now AS (
+  SELECT m.* REPLACE (c.conference_year AS conference_year) FROM merged m LEFT JOIN cy c ON m.key = c.key
+  WHERE m.view_count IS NULL OR m.view_count % 10 <> 3)
+SELECT coalesce(w.key, n.key) AS url,
+  CASE WHEN w.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'gone' WHEN diff <> '' THEN 'changed' ELSE 'same' END AS kind,
+  CASE WHEN w.key IS NULL OR n.key IS NULL THEN '' ELSE diff END AS changed
+FROM was w FULL OUTER JOIN now n ON w.key = n.key, LATERAL (SELECT concat_ws('|', {', '.join(f"CASE WHEN w.{c} IS DISTINCT FROM n.{c} THEN '{c}' END" for c in _COMPARED)}) AS diff)""",
     ),
     "last_writes": (
         last_writes,

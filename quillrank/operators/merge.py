@@ -113,3 +113,20 @@ def upsert(state: DataFrame, batch: DataFrame, site: Site, seq: Sequence[str], c
         columns[name] = F.col(name)
     columns["watch_status"] = F.coalesce("watch_status", F.lit("new"))
     return joined.select(*[columns[name].alias(name) for name in STATE.names])
+
+
+def differences(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """``key, kind, changed, was, now`` of every row of two states with one row per ``key``.
+
+    ``kind`` is new, gone, changed or same; ``changed`` names the columns that differ, of
+    ``columns`` or of all; two NULLs are equal. ``was`` and ``now`` are the compared columns.
+    """
+    names = [c for c in (columns or after.columns) if c != key]
+    old = before.select(key, F.struct(*names).alias("was"))
+    new = after.select(key, F.struct(*names).alias("now"))
+    joined = old.join(new, key, "full_outer")
+    changed = F.array_compact(F.array(*[F.when(~F.col("was")[c].eqNullSafe(F.col("now")[c]), F.lit(c)) for c in names]))
+    both = F.col("was").isNotNull() & F.col("now").isNotNull()
+    joined = joined.withColumn("changed", F.when(both, changed).otherwise(F.array().cast("array<string>")))
+    kind = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.size("changed") > 0, "changed").otherwise("same")
+    return joined.select(key, kind.alias("kind"), "changed", "was", "now")

@@ -1,23 +1,26 @@
 """Item state as versioned Parquet snapshots, and import of older text-typed rows.
 
-A run reads version N, writes N+1 next to it and then adds a line to the
-``versions`` table; readers follow that table, so a lost job leaves the last
-good version in place. Snapshots are bucketed by key: a merge shuffles the
-batch of writes to the snapshot's buckets, never the snapshot itself. Every run
-writes to a folder of its own; of two runs that make the same version, the one
-that is second to say so fails.
+A run reads version N, writes N+1 next to it in a folder of its own and then claims
+the number: it creates the file ``versions/N.json``, which fails if there is one.
+Readers follow these files, so a lost job leaves the last good version in place, and
+of two runs that make the same version the second fails and leaves nothing behind.
+Snapshots are bucketed by key: a merge shuffles the batch of writes to the snapshot's
+buckets, never the snapshot itself; two versions are compared without any shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillrank.operators.merge import differences
 from quillrank.schema import STATE, conform, upgrade_state
 
 _VERSIONS = T.StructType(
@@ -51,7 +54,7 @@ class SnapshotStore:
 
     def versions(self) -> DataFrame:
         try:
-            return self.spark.read.schema(_VERSIONS).parquet(f"{self.path}/versions")
+            return self.spark.read.schema(_VERSIONS).json(f"{self.path}/versions").filter("version is not null")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -68,15 +71,42 @@ class SnapshotStore:
         """Newest complete version, 0 before the first."""
         return self._progress("")[0]
 
+    def _mark(self, version: int, run_id: str) -> str:
+        return f"{version}-{hashlib.sha256(run_id.encode()).hexdigest()[:12]}"
+
     def _location(self, version: int, run_id: str) -> str:
-        return f"{self.path}/v={version}-{hashlib.sha256(run_id.encode()).hexdigest()[:12]}"
+        return f"{self.path}/v={self._mark(version, run_id)}"
+
+    def _table(self, version: int, run_id: str) -> str:
+        return f"{self._name}_{self._mark(version, run_id).replace('-', '_')}"
 
     def _line(self, version: int) -> Row:
-        """What the versions table says of ``version``; two lines are a conflict."""
-        lines = self.versions().filter(F.col("version") == version).limit(2).collect()
-        if len(lines) != 1:
-            raise RuntimeError(f"{self.path}: {len(lines)} runs made version {version}")
-        return lines[0]
+        """What is known of ``version``."""
+        line = self.versions().filter(F.col("version") == version).first()
+        if line is None:
+            raise ValueError(f"{self.path}: no version {version}")
+        return line
+
+    def _on_files(self, path: str):
+        """The file system and the path in it."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _claim(self, version: int, run_id: str) -> bool:
+        """Make ``version`` this run's, unless another run has it."""
+        files, place = self._on_files(f"{self.path}/versions/{version}.json")
+        said = json.dumps({"version": version, "run_id": run_id, "buckets": self.buckets}) + "\n"
+        try:
+            out = files.create(place, False)  # never overwrites
+        except Py4JJavaError as error:
+            if not files.exists(place):
+                raise
+            if "Exists" not in str(error.java_exception) and "exists" not in str(error.java_exception):
+                raise
+            return False
+        out.write(bytearray(said.encode()))
+        out.close()
+        return self._line(version)["run_id"] == run_id
 
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
@@ -84,7 +114,7 @@ class SnapshotStore:
             return self.spark.createDataFrame([], self.schema)
         line = self._line(version)
         buckets, location = line["buckets"], self._location(version, line["run_id"])
-        table = f"{self._name}_{version}"
+        table = self._table(version, line["run_id"])
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
@@ -101,35 +131,37 @@ class SnapshotStore:
         return self._write(conform(df, self.schema).repartition(self.buckets, self.key), version + 1, run_id)
 
     def _write(self, df: DataFrame, version: int, run_id: str) -> int:
-        table = f"{self._name}_{version}"
+        table, location = self._table(version, run_id), self._location(version, run_id)
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         (
             df.write.bucketBy(self.buckets, self.key)
             .sortBy(self.key)
             .format("parquet")
-            .option("path", self._location(version, run_id))
+            .option("path", location)
             .mode("overwrite")
             .saveAsTable(table)
         )
-        line = self.spark.createDataFrame([(version, run_id, self.buckets)], _VERSIONS)
-        if not self.versions().filter(F.col("version") == version).isEmpty():
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if not self._claim(version, run_id):
+            self._forget(version, run_id)
             raise RuntimeError(f"{self.path}: another run made version {version}")
-        line.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
-        self._line(version)
         if self.keep is not None:
-            self._drop(version - self.keep)
+            for line in self.versions().filter(F.col("version") <= version - self.keep).collect():
+                self._forget(line["version"], line["run_id"])
         return version
 
-    def _drop(self, last: int) -> None:
-        """Forget the files and tables of versions up to ``last``; their lines stay."""
-        files = self.spark._jvm.org.apache.hadoop.fs
-        for line in self.versions().filter(F.col("version") <= last).collect():
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._name}_{line['version']}")
-            path = files.Path(self._location(line["version"], line["run_id"]))
-            system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            if system.exists(path):
-                system.delete(path, True)
+    def _forget(self, version: int, run_id: str) -> None:
+        """Delete a version's files and table; what says that it was there stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(version, run_id)}")
+        files, place = self._on_files(self._location(version, run_id))
+        if files.exists(place):
+            files.delete(place, True)
+
+    def changes(self, since: int, until: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """What happened to each row between two versions, see ``operators.merge.differences``.
+
+        Versions of the same buckets are compared bucket by bucket, without a shuffle.
+        """
+        return differences(self.read(since), self.read(until), self.key, columns)
 
     def update(self, change: Callable[[DataFrame], DataFrame], run_id: str) -> int:
         """Commit ``change(current state)`` unless this run already did.

@@ -1,4 +1,5 @@
 import json
+import threading
 from datetime import date, datetime
 
 import pytest
@@ -132,7 +133,7 @@ def test_store_versions_are_idempotent_and_bucketed(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1
     # Another session may use other bucket numbers: old versions keep theirs.
     for version in (1, 2):
-        spark.sql(f"DROP TABLE {store._name}_{version}")
+        spark.sql(f"DROP TABLE {store._table(version, f'run-{version}')}")
     again = SnapshotStore(spark, str(tmp_path / "items"), buckets=3)
     assert again.version() == 2
     assert again.update(change, "run-3") == 3
@@ -226,16 +227,79 @@ def test_two_writers_of_a_version_and_old_versions(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another run made version 2"):
         store.update(overtaken, "late")
     assert store.version() == 2 and store.read().count() == 1
-    line = store.versions().filter("version = 2")
-    line.write.mode("append").parquet(f"{store.path}/versions")
-    with pytest.raises(RuntimeError, match="2 runs made version 2"):
-        store.read()
+    # The loser left nothing, and comes through when it tries again.
+    assert len(list((tmp_path / "items").glob("v=2-*"))) == 1
+    assert store.update(change, "late") == 3 and store.read().count() == 1
     clean = SnapshotStore(spark, str(tmp_path / "clean"), keep=2)
     for i in range(4):
         clean.update(change, f"run-{i}")
     assert sorted(p.name[:3] for p in (tmp_path / "clean").glob("v=*")) == ["v=3", "v=4"] and clean.read(3).count() == 1
 
 
+def test_a_race_leaves_one_winner_and_a_readable_store(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "items"))
+    batch = writes(spark, [(i, f"https://items.example.org/presentations/{i}/", "t", None, None, NOW) for i in range(20)])
+    store.update(lambda state: merge.upsert(state, batch, SITE, ["seq"]), "seed")
+    ready, outcomes = threading.Barrier(4), {}
+
+    def write(name):
+        own = SnapshotStore(spark, store.path)
+        claim = own._claim
+
+        def together(version, run_id):  # all have written their files and seen that the number is free
+            ready.wait(120)
+            return claim(version, run_id)
+
+        own._claim = together
+        try:
+            outcomes[name] = own.update(lambda state: state.withColumn("title", F.lit(name)), name)
+        except RuntimeError as error:
+            outcomes[name] = str(error)
+
+    threads = [threading.Thread(target=write, args=(f"w{i}",)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    winners = [n for n, got in outcomes.items() if got == 2]
+    assert len(winners) == 1 and all("another run made version 2" in got for n, got in outcomes.items() if n not in winners)
+    assert values(store.read().select("title").distinct(), "title") == [(winners[0],)] and store.read().count() == 20
+    assert len(list((tmp_path / "items").glob("v=2-*"))) == 1 and store.version() == 2
+
+
+def test_a_lost_job_leaves_the_last_good_version(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "items"))
+    batch = writes(spark, [(0, "https://items.example.org/presentations/1/", "t", None, None, NOW)])
+    change = lambda state: merge.upsert(state, batch, SITE, ["seq"])
+    store.update(change, "one")
+    monkeypatch.setattr(store, "_claim", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        store.update(change, "two")
+    monkeypatch.undo()
+    (tmp_path / "items/versions/7.json").write_text("")  # a writer that died while it claimed
+    assert store.version() == 1 and store.read().count() == 1
+    assert store.update(change, "two") == 2 and store.read().count() == 1
+
+
+def test_changes_between_versions_need_no_shuffle(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "items"), buckets=8)
+    rows = [(i, f"https://items.example.org/presentations/{i}/", "t", None, None, NOW) for i in range(6)]
+    first = writes(spark, rows[:4])
+    store.update(lambda state: merge.upsert(state, first, SITE, ["seq"]), "one")
+    second = writes(spark, [(1, rows[1][1], "other", None, None, NOW), *rows[4:]])
+    store.update(lambda state: merge.upsert(state.filter(~F.col("url").contains("/3/")), second, SITE, ["seq"]), "two")
+    found = store.changes(1, columns=["title", "speaker", "tags"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    kinds = {r["url"][-2]: (r["kind"], r["changed"]) for r in found.collect()}
+    assert kinds == {"0": ("same", []), "1": ("changed", ["title"]), "2": ("same", []), "3": ("gone", []), "4": ("new", []), "5": ("new", [])}
+    one = next(r for r in found.collect() if r["kind"] == "changed")
+    assert (one["was"]["title"], one["now"]["title"]) == ("t", "other")
+    assert {r["kind"] for r in store.changes(2, 2).collect()} == {"same"}
+    assert {r["kind"] for r in store.changes(0, 1).collect()} == {"new"}
+    with pytest.raises(ValueError, match="no version 9"):
+        store.changes(1, 9)
+
+
 def test_report_jobs_take_the_latest_year(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "items"))
     rows = writes(spark, [(0, "https://items.example.org/presentations/1/", "One", None, 2020, NOW)]).drop("seq")
