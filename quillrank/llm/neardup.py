@@ -14,8 +14,9 @@ two tiles of rows however many vectors are alike.
 
 Defined results: vectors without label or id, and vectors that are null, empty, zero or hold
 null or non-finite numbers, link with nothing; so do vectors of different lengths. Rows
-that repeat an id are one vector, the least by label and embedding; rows without an id
-are returned one by one, with a null component.
+of one id are one result, linked through all its different vectors: each pair of a vector
+of its own and one of another id counts. Rows without an id are returned one by one, with
+a null component.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     for value in column:
         x = value.values
         x = None if x is None or x.null_count or not len(x) else x.to_numpy(zero_copy_only=False).astype(np.float64)
-        found.append(x if x is not None and np.isfinite(x).all() and x.any() and np.isfinite((x * x).sum()) else None)
+        found.append(x if x is not None and np.isfinite(x).all() and x.any() else None)
     return found
 
 
@@ -134,7 +135,7 @@ def _tile(table: pa.Table, least: float) -> pa.Table:
         from_, to = np.searchsorted(keys, own[a[0], 0] - reach - 1e-9), np.searchsorted(keys, own[a[-1], 0] + reach + 1e-9, side="right")
         b = right[from_:to]
         apart = square[a][:, None] + square[b][None, :] - 2 * own[a] @ own[b].T
-        close = (apart <= budget + 1e-9) & ~(guest[a][:, None] & guest[b][None, :])
+        close = (apart <= budget + 1e-9) & ~(guest[a][:, None] & guest[b][None, :]) & (ids[a][:, None] != ids[b][None, :])
         if lo == hi:
             close &= np.arange(s, s + len(a))[:, None] < np.arange(from_, to)[None, :]
         i, j = np.nonzero(close)
@@ -168,7 +169,7 @@ def link(vectors: DataFrame, least: float = 0.93, tile: int = TILE) -> DataFrame
     spread = materialize(_spread(vectors.filter("vec_id is not null and label is not null"), least), "blocks")
     key = ["label", "dim", "block", "cell"]
     sizes = spread.groupBy(*key).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    parts = spread.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    parts = spread.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts")).cast("int"))
     tiles = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
     found = tiles.groupBy(*key, "lo", "hi").applyInArrow(lambda t: _tile(t, least), "a long, b long, n long")
@@ -177,12 +178,13 @@ def link(vectors: DataFrame, least: float = 0.93, tile: int = TILE) -> DataFrame
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, tile: int = TILE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of ``vectors(vec_id, label, embedding)``."""
-    named = vectors.filter("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
-    named = materialize(named.select("vec_id", "v.label", "v.embedding"), "vectors")
+    named = vectors.filter("vec_id is not null").select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+    # Rows repeated in full are one vector.
+    named = materialize(named.distinct(), "vectors")
     found = link(named, least, tile)
     counts = found.filter("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     roots = components(found.filter("b is not null").select("a", "b"))
-    rows = named.select("vec_id").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    rows = named.select("vec_id").distinct().join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     rows = rows.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
     nameless = vectors.filter("vec_id is null").select(
         F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")
