@@ -14,8 +14,9 @@ one of queries.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers,
 rows without an id, and rows whose length differs from the most common one take no part.
-Ties go to the smaller id. Rows that repeat an id are separate candidates; a query's own
-id is none. Queries whose parts hold too few rows are sent to further parts.
+Ties go to the smaller id. An id with several vectors is one query and one candidate,
+as near as its nearest two vectors are; a query's own id is none. Queries whose parts
+hold too few ids are sent to all parts.
 """
 
 from __future__ import annotations
@@ -42,12 +43,11 @@ _SLACK = 1e-9
 
 @dataclass
 class Router:
-    """Weights of the network, how many parts to probe, and rows of each part."""
+    """Weights of the network, its parts, and how many to probe."""
 
     layers: list[np.ndarray]
     parts: int
     probes: int
-    rows: np.ndarray
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -131,14 +131,14 @@ def fit(sample: np.ndarray, k: int = 20, recall: float = 0.96) -> Router:
     own, rest = sample[::2], sample[1::2]
     dim = sample.shape[1] if sample.ndim == 2 else 1
     if parts == 1:
-        return Router([np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1, np.zeros(1))
+        return Router([np.zeros((dim, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
     graph = neighbour_graph(own, NEIGHBOURS)
     part = balanced_parts(graph, parts)
     soft = np.zeros((len(own), parts))
     np.add.at(soft, (np.repeat(np.arange(len(own)), graph.shape[1]), part[graph].ravel()), 1.0)
     soft[np.arange(len(own)), part] += graph.shape[1] / 4
     soft /= soft.sum(axis=1, keepdims=True)
-    router = Router(train(own, soft), parts, parts, np.zeros(parts))
+    router = Router(train(own, soft), parts, parts)
     # Neighbours of held-out vectors among all of the sample, and where the network files them.
     home = router.logits(sample).argmax(axis=1)
     asked = rest[:1024]
@@ -174,24 +174,20 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, vec binary")
 
 
-def _routed(rows: DataFrame, router: Router, probing: int | None) -> DataFrame:
-    """Rows under their part, or queries under each part they probe (and more until ``probing`` rows are in reach)."""
+def _routed(rows: DataFrame, router: Router, probes: int | None) -> DataFrame:
+    """Rows under their part, or queries under each of the ``probes`` parts most probable for them."""
     shared = rows.sparkSession.sparkContext.broadcast(vars(router))
+    width = probes or 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Router(**shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-net.logits(_matrix(batch.column("vec"))), axis=1, kind="stable")
-            if probing is None:
-                take = np.arange(net.parts)[None, :] < np.ones((len(order), 1))
-            else:
-                reach = np.cumsum(net.rows[order], axis=1)
-                take = (np.arange(net.parts)[None, :] < net.probes) | (reach - net.rows[order] < probing)
-            row, nth = np.nonzero(take)
-            arrays = [batch.column(c).take(pa.array(row)) for c in ("vec_id", "vec")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(order[row, nth].astype(np.int32))], names=["vec_id", "vec", "part"])
+            order = np.argsort(-net.logits(_matrix(batch.column("vec"))), axis=1, kind="stable")[:, :width]
+            row = pa.array(np.repeat(np.arange(len(order)), order.shape[1]))
+            arrays = [batch.column(c).take(row) for c in ("vec_id", "vec")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(order.ravel().astype(np.int32))], names=["vec_id", "vec", "part"])
 
     return rows.select("vec_id", "vec").mapInArrow(run, "vec_id long, vec binary, part int")
 
@@ -202,10 +198,14 @@ def _best(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     if queries.num_rows and rows.num_rows:
         q, x = _matrix(queries.column("vec")), _matrix(rows.column("vec"))
         asked, ids = queries.column("vec_id").to_numpy(), rows.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x, ids = x[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         for s in range(0, len(q), 256):
             near = q[s : s + 256] @ x.T
             near[asked[s : s + 256, None] == ids[None, :]] = -np.inf
-            kth = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+            once = near if len(first) == len(ids) else np.maximum.reduceat(near, first, axis=1)  # an id counts once
+            kth = np.partition(once, max(0, once.shape[1] - k), axis=1)[:, max(0, once.shape[1] - k)]
             # Near ties of the last place stay in until their scores are exact.
             slack = _SLACK * (1 + np.abs(kth))
             i, j = np.nonzero((near >= (kth - slack)[:, None]) & np.isfinite(near))
@@ -217,35 +217,50 @@ def _best(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     query, vec, score = (np.concatenate(c) for c in zip(*out))
     order = np.lexsort((vec, -score, query))
     query, vec, score = query[order], vec[order], score[order]
+    _, best = np.unique(np.stack([query, vec]), axis=1, return_index=True)  # the first is the best
+    best.sort()
+    query, vec, score = query[best], vec[best], score[best]
     first = np.searchsorted(query, query)
     keep = np.arange(len(query)) - first < k
     return pa.table({"query_id": pa.array(query[keep]), "vec_id": pa.array(vec[keep]), "score": pa.array(score[keep])})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which ``is_query`` holds."""
-    rows = materialize(usable(vectors), "vectors")
-    sizes = sorted((-r["n"], r["dim"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect())  # one row a length
-    dim, total = (sizes[0][1], -sizes[0][0]) if sizes else (1, 0)
-    rows = rows.filter(F.col("dim") == dim)
-    draw = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.filter(draw < SAMPLE / max(total, 1)).orderBy("vec_id", "vec").limit(2 * SAMPLE).select("vec").toArrow()
-    router = fit(_matrix(sample.column("vec")) if sample.num_rows else np.zeros((0, dim)), k, recall)
-    index = materialize(_routed(rows, router, None), "index")
-    counted = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    router.rows = np.array([counted.get(p, 0) for p in range(router.parts)])
+def _nearest(index: DataFrame, asked: DataFrame, router: Router, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: for each query of ``asked(vec_id, vec, part)`` its best in the parts it is sent to, each id once."""
+    counted = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a part
     chunks = F.element_at(F.array(*[F.lit(max(1, -(-counted.get(p, 0) // CHUNK))) for p in range(router.parts)]), F.col("part") + 1)
     # Queries that share a part are dealt to groups as well; each group meets each chunk.
-    asked = materialize(_routed(rows.filter(is_query), router, k + 1), "queries")
     many = asked.groupBy("part").agg(F.count("*").alias("n")).collect()
     waves = {r["part"]: max(1, -(-r["n"] // CHUNK)) for r in many}
     wave = F.element_at(F.array(*[F.lit(waves.get(p, 1)) for p in range(router.parts)]), F.col("part") + 1)
-    spot = F.xxhash64("vec_id")
+    spot = F.xxhash64("vec_id", "vec")
     asked = asked.withColumn("wave", F.pmod(spot, wave).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
     held = index.withColumn("chunk", F.pmod(spot, chunks).cast("int")).withColumn("wave", F.explode(F.sequence(F.lit(0), wave - 1)))
     key = ["part", "chunk", "wave"]
     found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(
         lambda q, x: _best(q, x, k), "query_id long, vec_id long, score double"
     )
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of every id of which ``is_query`` holds."""
+    rows = materialize(usable(vectors).distinct(), "vectors")
+    sizes = sorted((-r["n"], r["dim"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect())  # one row a length
+    dim, total = (sizes[0][1], -sizes[0][0]) if sizes else (1, 0)
+    rows = rows.filter(F.col("dim") == dim)
+    draw = F.pmod(F.xxhash64(F.lit(11), "vec_id", "vec"), F.lit(1_000_003)) / 1_000_003
+    sample = rows.filter(draw < SAMPLE / max(total, 1)).orderBy("vec_id", "vec").limit(2 * SAMPLE).select("vec").toArrow()
+    router = fit(_matrix(sample.column("vec")) if sample.num_rows else np.zeros((0, dim)), k, recall)
+    index = materialize(_routed(rows, router, None), "index")
+    asked = rows.filter(is_query)
+    found = materialize(_nearest(index, materialize(_routed(asked, router, router.probes), "queries"), router, k), "nearest")
+    # Where the parts held fewer ids than asked for, all parts are searched.
+    ids = rows.select("vec_id").distinct().count()
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k, ids - 1)).select(F.col("query_id").alias("vec_id"))
+    short = materialize(asked.join(enough, "vec_id", "left_anti"), "short")
+    if not short.isEmpty():
+        again = _nearest(index, materialize(_routed(short, router, router.parts), "queries"), router, k)
+        found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").union(again)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -70,16 +70,31 @@ def test_vector_edge_cases(spark):
         (1, "a", one), (2, "a", one), (3, None, one), (4, "b", one), (None, "a", one), (5, "a", None), (6, "a", []),
         (7, "a", [0.0, 0.0, 0.0]), (8, "a", [1.0, None, 0.0]), (9, "a", [float("nan"), 1.0, 0.0]), (10, "a", [1.0, 0.0]),
         (11, "a", [float("inf"), 0.0, 0.0]), (2, "a", one), (12, "a", [1e-200, 0.0, 0.0]), (13, "a", [1e200, 0.0, 0.0]),
+        (14, "a", [1e308, 1e308, 0.0]), (15, "a", [5e-324, 5e-324, 0.0]),
     ]
-    found = rows_of(neardup.near_duplicates(vectors(spark, rows)), "vec_id", "n_links", "component_id", "kept")
-    assert len(found) == 14 and (None, 0, None, False) in found
-    alike = {1, 2, 12}
-    for i, n, root, kept in found:
-        if i is not None and i not in (13,):
-            assert (n, root, kept) == ((3, 1, i == 1) if i in alike else (0, i, True)) or n == 2 and i in alike
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(vectors(spark, rows)).collect()}
+    alike = {i: (3, 1, i == 1) for i in (1, 2, 12, 13)} | {14: (1, 14, True), 15: (1, 14, False)}
+    assert found == {i: alike.get(i, (0, i, i is not None)) if i is not None else (0, None, False) for i in (None, *range(1, 16))}
     assert neardup.near_duplicates(vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_links_of_ids_on_several_rows(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (2, None, [0.0, 1.0])]
+    assert rows_of(neardup.near_duplicates(vectors(spark, rows)), "vec_id", "n_links", "component_id", "kept") == [(1, 1, 1, True), (2, 1, 1, False)]
+    # Two different vectors of an id link it with two others; alike vectors of one id are no link.
+    rows = [(1, "a", [1.0, 0.0]), (5, "a", [1.0, 0.0]), (5, "a", [0.0, 1.0]), (9, "a", [0.0, 1.0]), (7, "a", [1.0, 1.0]), (7, "a", [1.0, 1.1])]
+    rows += [(5, "a", [1.0, 0.0]), (5, "b", [1.0, 0.0]), (8, "b", [1.0, 0.0])]
+    found = rows_of(neardup.near_duplicates(vectors(spark, rows)), "vec_id", "n_links", "component_id", "kept")
+    assert found == [(1, 1, 1, True), (5, 3, 1, False), (7, 0, 7, True), (8, 1, 1, False), (9, 1, 1, False)]
+    many = [(3, "a", [1.0, i / 1000]) for i in range(300)] + [(4, "a", [1.0, 0.0])]
+    assert rows_of(neardup.near_duplicates(vectors(spark, many), tile=50), "vec_id", "n_links") == [(3, 300), (4, 300)]
+
+
+def test_links_of_vectors_whose_squares_overflow(spark):
+    rows = [(1, "a", [1e200, 0.0]), (2, "a", [1e200, 1.0]), (3, "a", [0.0, -1e200])]
+    assert rows_of(neardup.near_duplicates(vectors(spark, rows)), "vec_id", "n_links", "component_id") == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 # Nearest neighbours
 
 
@@ -118,6 +133,25 @@ def test_search_with_few_rows_ties_and_bad_vectors(spark):
     assert ann.search(vectors(spark, rows).limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_of_ids_on_several_rows(spark):
+    # A query that stands twice, and neighbours that stand twice, count once.
+    rows = [(i, "a", [1.0, float(i)]) for i in range(1, 31)] + [(40, "a", [1.0, 1.0])] * 2 + [(i, "a", [1.0, float(i)]) for i in range(20, 31)]
+    found = ann.search(vectors(spark, rows), F.col("vec_id") == 40)
+    assert rows_of(found, "rank", "vec_id", "score") == sorted(((i + 1, 30 - i, 31.0 - i) for i in range(20)), key=repr)
+    # Two different vectors of a query or of a neighbour: the nearest two count.
+    rows = [(20, "a", [1.0, 0.0]), (20, "a", [0.0, 1.0]), (1, "a", [3.0, 0.0]), (2, "a", [0.0, 5.0]), (3, "a", [1.0, 1.0]), (3, "a", [0.0, 4.0])]
+    found = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0)
+    assert rows_of(found, "rank", "vec_id", "score") == [(1, 2, 5.0), (2, 3, 4.0), (3, 1, 3.0)]
+
+
+def test_an_id_on_many_rows_does_not_starve_its_query(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 16))
+    rows = [(20, "a", (x[0] + 0.01 * rng.standard_normal(16)).tolist()) for _ in range(1500)] + [(1000 + i, "a", v.tolist()) for i, v in enumerate(x)]
+    counts = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("m"))
+    assert {(r["n"], r["m"]) for r in counts.collect()} == {(20, 20)} and counts.count() == 76
+
+
 def test_parts_are_balanced_and_copies_do_not_starve_a_query(spark):
     rng = np.random.default_rng(4)
     graph = ann.neighbour_graph(rng.standard_normal((1000, 8)), 10)
