@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -239,14 +241,102 @@ def test_small_vocabulary_gives_the_same_base(spark):
     assert rows_of(maxent.fit_and_score(docs, 50), *columns) == rows_of(maxent.fit_and_score(docs), *columns)
 
 
+def fitted(spark, rows, size=maxent.VOCABULARY):
+    docs = documents(spark, rows).select("doc_id", (F.col("doc_id") % 10 == 0).alias("held_out"), "text")
+    counted = maxent.count_words(docs.filter("not held_out")).cache()
+    model = maxent.vocabulary(counted, size)
+    numbered = maxent.number(docs, model).cache()
+    return docs, maxent.fit(numbered.filter("not held_out"), model), counted, numbered
+
+
+def sentences(n=300):
+    rng = random.Random(11)
+    kinds = [[f"{c}{i}" for i in range(12)] for c in "abc"]
+    rows = []
+    for i in range(n):
+        words = rng.choice(kinds)
+        text = [rng.choice(words)]
+        while rng.random() < 0.95:  # what follows a word depends on it
+            text.append(words[(words.index(text[-1]) * 2 + rng.choice([0, 0, 1])) % 12] if rng.random() < 0.8 else rng.choice(words))
+            if rng.random() < 0.05:
+                text.append(f"rare{rng.randrange(400)}")
+                text.append(rng.choice(words))
+        rows.append((i, " ".join(text).upper() if i % 3 else " ".join(text), "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("size", [maxent.VOCABULARY, 30])
+def test_scores_against_brute_force(spark, size):
+    """Scores from the class weights by plain loops: softmax of features, pairs and shares inside classes, counts of rare words."""
+    rows = sentences()
+    docs, model, counted, numbered = fitted(spark, rows, size)
+    tokens = {i: [*t.encode().lower().split(), b"\xff"] for i, t, _, _ in rows}
+    learned = [w for i, w in tokens.items() if i % 10]
+    counts = Counter(t for w in learned for t in w)
+    place = {h: i for i, h in enumerate(model.words.tolist())}
+    of = {t: place.get(maxent._hash(t)) for w in tokens.values() for t in w}
+    assert all(counts[t] == model.counts[i] for t, i in of.items() if i is not None) and (size > 30 or None in of.values())
+    klass = {t: int(model.classes[i]) if i is not None else maxent.CLASSES - 1 for t, i in of.items()}
+    follow, pairs = Counter(), Counter()
+    for w in learned:
+        for x, y in zip(w, w[1:]):
+            if of[x] is not None and of[x] < maxent.HEAD:
+                follow[x, klass[y]] += 1
+                pairs[x, y] += of[y] is not None and of[y] < maxent.HEAD
+    share = {}
+    for c in set(klass.values()):
+        own = [t for t in counts if klass[t] == c and of[t] is not None]
+        share |= {t: (counts[t] + 0.1) / (sum(counts[u] for u in own) + 0.1 * len(own)) for t in own}
+    rare = [t for t in counts if of[t] is None]
+    mass = sum(counts[t] for t in rare) + 0.1 * len(rare)
+
+    def inside(x, y):
+        if of[y] is None:
+            return (1 - model.unseen) * (counts[y] + 0.1) / max(0.1, mass) if counts[y] else model.unseen
+        own = [t for t in share if klass[t] == klass[y]]
+        with_ = {t: (pairs[x, t] - 0.75) / follow[x, klass[y]] for t in own if x is not None and pairs[x, t] >= 4}
+        room = 1 - sum(share[t] for t in with_)
+        if with_ and room < 1e-6:
+            return with_[y] / sum(with_.values())
+        return with_[y] if y in with_ else share[y] * (1 - sum(with_.values())) / room if with_ else share[y]
+
+    found = {r["doc_id"]: r for r in maxent.score(numbered, model, counted).collect()}
+    for i, words in list(tokens.items())[:60]:
+        numbers = [model.rare + 1] * 3 + [of[t] if of[t] is not None else model.rare for t in words]
+        total, known = 0.0, 0.0
+        for j, t in enumerate(words):
+            one, two, three = (int(model.buckets[numbers[j + 2 - d]]) for d in range(3))
+            pair = ((one * maxent.WORD_BUCKETS + two) * 0x9E3779B97F4A7C15 % 2**64 >> 33) % maxent.PAIR_BUCKETS
+            w = maxent.WORD_BUCKETS
+            z = sum(model.weights[r].astype(float) for r in (0, 1 + one, 1 + w + two, 1 + 2 * w + three, 1 + 3 * w + pair))
+            p = np.exp(z[klass[t]]) / np.exp(z).sum() * inside(words[j - 1] if j else None, t)
+            total += np.log10(p)
+            known += np.log10(p) if counts[t] else 0
+        assert found[i]["score"] == pytest.approx(total, rel=1e-4) and found[i]["known_score"] == pytest.approx(known, rel=1e-4)
+    out = [r for i, r in found.items() if i % 10 == 0]
+    assert sum(r["known_score"] for r in out) > 0.8 * sum(r["known_base"] for r in out)
+
+
 def test_probabilities_sum_to_one(spark):
-    docs = documents(spark, [(i, "a b c a b " + "d e" * (i % 3), "en", "a") for i in range(30)]).withColumn("held_out", F.lit(False))
-    learned = docs.select("doc_id", "text")
-    counted = maxent.count_words(learned, maxent.find_kinds(learned, 30)).cache()
-    model = maxent.train(learned, maxent.vocabulary(counted))
-    logs = maxent._log_softmax(model.weights, maxent._features(np.array([0, 1, 2, 0]), np.array([3]), model.buckets))[0]
-    share = sum(10 ** (logs[c] / np.log(10) + s) for c, s in zip(model.classes, model.share))
-    assert share + np.exp(logs[maxent.KINDS * maxent.BANDS]) + sum(np.exp(logs[c]) for c in range(32) if c not in set(model.classes)) == pytest.approx(1, abs=1e-5)
+    _, model, _, _ = fitted(spark, sentences())
+    rare = model.rare
+    for last in ([0, 1, 2], [5, 3, rare], [rare + 1] * 3, [1, rare + 1, 0]):
+        numbers = np.concatenate([[*last, w] for w in range(rare)])
+        at = np.arange(rare) * 4 + 3
+        logs = maxent._log_softmax(model.weights, maxent._features(numbers, at, model.buckets))
+        words = 10 ** (logs[np.arange(rare), model.classes[:rare]] / np.log(10) + maxent._inside(model, numbers, at))
+        empty = [c for c in range(maxent.CLASSES) if c not in set(model.classes[:rare])]  # and the class of rare words
+        assert words.sum() + np.exp(logs[0][empty]).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_kinds_come_from_all_texts(spark):
+    """A kind of texts too rare for any sample still has words of its own."""
+    rows = [(i, "the cat and the dog " * 5, "en", "a") for i in range(1, 800)] + [(801 + i, "der hund und die katze " * 5, "de", "b") for i in range(3)]
+    _, model, _, numbered = fitted(spark, rows)
+    centres = maxent.find_kinds(numbered, model.rare)
+    kinds = {i: int(maxent._kind(maxent._profiles(*maxent._laid(pa.array([bytes(r["numbers"])]), model.rare + 1)), centres)[0]) for i, r in
+             ((r["doc_id"], r) for r in numbered.filter("doc_id in (1, 2, 801, 802, 803)").collect())}
+    assert kinds[1] == kinds[2] != kinds[801] == kinds[802] == kinds[803]
 
 
 def test_language_model_edge_cases(spark):
