@@ -19,6 +19,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in buckets of ``key``, and the table's name: joins on ``key`` leave it where it lies."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table), table
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` wrote and no later step reads."""
     spark = df.sparkSession
