@@ -22,6 +22,20 @@ def report_counts(spark, folder):
     return reports.summary_counts(scored_view(spark, folder))
 
 
+def report_rollup(spark, folder):
+    return reports.rollup_counts(scored_view(spark, folder))
+
+
+def source_distinct(spark, folder):
+    """Items of each source over two runs: exact numbers, and whether the merged sketches come within three standard errors."""
+    items = scored_view(spark, folder)
+    runs = [items.filter("lang <> 'fr'"), items.filter("lang <> 'de'")]
+    estimated = reports.merged_distinct(*(reports.distinct_sketches(r) for r in runs))
+    exact = runs[0].union(runs[1]).filter("source is not null").groupBy("source").agg(F.count_distinct("url").alias("addresses"))
+    close = F.abs(F.col("distinct_items") - F.col("addresses")) <= F.greatest(F.lit(1.0), 3 * 0.0163 * F.col("addresses"))
+    return estimated.join(exact, "source").select("source", "runs", "addresses", close.alias("within_error"))
+
+
 def watchlist_top(spark, folder):
     rows = reports.watchlist_top(scored_view(spark, folder), 2017, 2023, 3)
     return rows.select("report_year", "decision", "number", "url", "title", "score")
@@ -157,6 +171,17 @@ pay AS (
   FROM scored)"""
 
 QUERIES = {
+    "report_rollup": (
+        report_rollup,
+        f"""WITH {SCORED_SQL} SELECT year, decision, source, count(*) AS items, max(score) AS top_score,
+  CAST(GROUPING_ID(year, decision, source) AS BIGINT) AS grouping_id FROM scored GROUP BY CUBE (year, decision, source)""",
+    ),
+    "source_distinct": (
+        source_distinct,
+        f"""WITH {SCORED_SQL},
+runs AS (SELECT 1 AS run, source, url FROM scored WHERE lang <> 'fr' UNION ALL SELECT 2, source, url FROM scored WHERE lang <> 'de')
+SELECT source, count(DISTINCT run) AS runs, count(DISTINCT url) AS addresses, true AS within_error FROM runs WHERE source IS NOT NULL GROUP BY source""",
+    ),
     "report_counts": (
         report_counts,
         f"""WITH {SCORED_SQL} SELECT count(*) AS total, count(*) FILTER (decision = 'watch') AS watch,

@@ -19,7 +19,7 @@ from quillrank.catalog.views import (
     term_sql,
 )
 from quillrank.config import Settings, rules_frame, shipped_settings
-from quillrank.operators import phrase_index, scoring
+from quillrank.operators import phrase_index, scoring, substring_index
 from quillrank.session import shared_folder
 
 SHIPPED = shipped_settings()
@@ -86,6 +86,16 @@ def benchmark_phrases(spark, folder):
     return hits.groupBy("rule").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("documents"), F.count_distinct("term_no").alias("terms"))
 
 
+def company_matches(spark, folder):
+    """Thousands of customers' names as preferred companies, looked for in what the orders say."""
+    wanted = table(spark, folder, "customer").filter("c_mktsegment <> 'BUILDING'")
+    needles = wanted.select(F.col("c_custkey").alias("needle_no"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.substring("c_name", 10, 9)).alias("needle"))
+    sold = F.concat(F.lit("Sold to CUSTOMER#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" with "), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
+    orders = table(spark, folder, "orders").select("o_orderkey", sold.alias("company"))
+    found = substring_index.substring_matches(orders, "o_orderkey", "company", needles)
+    return found.groupBy("needle_no").agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last_order"))
+
+
 def rule_totals(spark, folder):
     return scoring.rule_totals(table(spark, folder, "documents"), "doc_id", "text", RULES)
 
@@ -151,5 +161,12 @@ again_in AS (SELECT i.*, s.tags AS old_tags FROM (SELECT * EXCLUDE (old_tags) FR
     "phrase_hits": (phrase_hits, _phrase_sql()),
     "rule_totals": (rule_totals, _rule_totals_sql()),
     "phrase_hits_table": (phrase_hits_table, _phrase_sql()),
+    "company_matches": (
+        company_matches,
+        """WITH n AS (
+  SELECT c_custkey AS needle_no, lower(CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE substr(c_name, 10, 9) END) AS needle FROM customer WHERE c_mktsegment <> 'BUILDING'),
+o AS (SELECT o_orderkey, lower('Sold to CUSTOMER#' || lpad(o_custkey::VARCHAR, 9, '0') || ' with ' || lpad(o_orderkey::VARCHAR, 10, '0')) AS company FROM orders)
+SELECT needle_no, count(*) AS orders, max(o_orderkey) AS last_order FROM n JOIN o ON contains(company, needle) GROUP BY needle_no""",
+    ),
     "benchmark_phrases": (benchmark_phrases, _BENCHMARK_SQL),
 }

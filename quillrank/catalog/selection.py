@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quillrank.catalog.views import AS_OF, SCORED_SQL, SITE, scored_view, table
 from quillrank.config import ELIGIBLE
-from quillrank.operators import selection
+from quillrank.session import shared_folder
+from quillrank.operators import paging, selection
 
 _COLUMNS_SQL = "doc_id, url, title, year, CAST(published_date AS VARCHAR) AS published, score, decision"
 _ELIGIBLE_SQL = ", ".join(f"'{d}'" for d in ELIGIBLE)
@@ -44,6 +45,16 @@ def list_items(spark, folder):
     return rows.select(*_shown())
 
 
+def list_numbered(spark, folder):
+    """The whole listing numbered, two of its pages from the written numbers."""
+    path = shared_folder(spark, "listing")
+    paging.numbered(scored_view(spark, folder), selection.list_order()).select("number", *_shown()).write.parquet(path)
+    listing = spark.read.parquet(path)
+    first = listing.agg((F.max("number") / 3).cast("long")).first()[0] or 0
+    pages = [paging.page(listing, after, 50).withColumn("page", F.lit(no)) for no, after in ((1, 0), (2, first))]
+    return listing.withColumn("page", F.lit(0)).union(pages[0]).union(pages[1])
+
+
 def edition_items(spark, folder):
     return selection.list_items(scored_view(spark, folder), conference_year=2019).select(*_shown())
 
@@ -174,7 +185,17 @@ SELECT * FROM repairs UNION ALL
 SELECT * EXCLUDE (pos) FROM creates WHERE pos <= greatest(40 - (SELECT count(*) FROM repairs), 0))"""
 
 
+_LIST_SQL = "year ASC NULLS FIRST, decision ASC NULLS FIRST, score DESC NULLS LAST, title ASC NULLS FIRST, url"
+
 QUERIES = {
+    "list_numbered": (
+        list_numbered,
+        f"""WITH {SCORED_SQL},
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_LIST_SQL}) AS number, {_COLUMNS_SQL} FROM scored),
+k AS (SELECT CAST(floor(max(number) / 3) AS BIGINT) AS after FROM n)
+SELECT *, CAST(0 AS INTEGER) AS page FROM n UNION ALL SELECT *, CAST(1 AS INTEGER) FROM n WHERE number <= 50
+UNION ALL SELECT n.*, CAST(2 AS INTEGER) FROM n, k WHERE number > after AND number <= after + 50""",
+    ),
     "list_items": (list_items, _select("WHERE year BETWEEN 2018 AND 2021 AND decision IN ('watch', 'skim')")),
     "edition_items": (edition_items, _select("WHERE conference_year = 2019")),
     "unreported_top": (

@@ -37,6 +37,31 @@ def summary_counts(items: DataFrame) -> DataFrame:
     )
 
 
+def rollup_counts(items: DataFrame) -> DataFrame:
+    """Items and best score by every choice of year, decision and source, all in one pass over the items.
+
+    ``grouping_id`` tells totals from rows of unknown year, decision or source: a bit is
+    set for each of the three that is summed over.
+    """
+    return items.cube("year", "decision", "source").agg(
+        F.count("*").alias("items"), F.max("score").alias("top_score"), F.grouping_id().alias("grouping_id")
+    )
+
+
+def distinct_sketches(items: DataFrame) -> DataFrame:
+    """``source, sketch``: a mergeable sketch of the addresses of each source, of a few kB however many there are."""
+    return items.filter("source is not null").groupBy("source").agg(F.hll_sketch_agg("url").alias("sketch"))
+
+
+def merged_distinct(*runs: DataFrame) -> DataFrame:
+    """``source, runs, distinct_items``: different addresses over all runs, from their sketches alone."""
+    both = runs[0]
+    for run in runs[1:]:
+        both = both.unionByName(run)
+    merged = both.groupBy("source").agg(F.count("*").alias("runs"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("source", "runs", F.hll_sketch_estimate("sketch").alias("distinct_items"))
+
+
 def watchlist_top(
     items: DataFrame, start_year: int, end_year: int, top: int, year_column: str = "year"
 ) -> DataFrame:
