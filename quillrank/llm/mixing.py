@@ -5,13 +5,14 @@ the source`` times. The whole part is taken, the fraction is settled by pivotal
 rounding: two documents with fractional copies exchange mass at random until one of
 them has a whole number, in such a way that expectations hold and the words of the
 two together do not change. What a bucket leaves open, at most one document of each
-source, goes up a reduction tree; the last one of a source is rounded by chance.
-A source therefore misses its target by less than one document.
+source, goes up a reduction tree; the last one of a source is rounded to the nearer
+whole number. A source therefore misses its target by half a document at most, and
+expectations hold for all but that one document.
 
 Defined results: null texts have size 0; documents of size 0 take nothing; a null
 source is a source of its own, ranked last; in an empty table nothing is taken.
-Repeated rows are separate documents. All chance comes from hashes of ids, so
-reruns agree however rows are spread.
+Repeated rows are separate documents, told apart by a number, so that they spread over
+the buckets. All chance comes from hashes of ids, so reruns agree however rows are spread.
 """
 
 from __future__ import annotations
@@ -99,12 +100,23 @@ def mix(sizes: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
 
     ``wanted`` is a table as ``targets`` makes it. ``row`` is handed on where there is one.
     """
-    sizes = sizes.select(F.col("row") if "row" in sizes.columns else F.lit(None).cast("long").alias("row"), "doc_id", "source", "size")
+    handed = "row" in sizes.columns
+    total = sizes.count()
+    if handed:
+        sizes = sizes.select("row", "doc_id", "source", "size", F.col("row").alias("nth"))
+    else:
+        # Equal rows are counted and told apart by a number, so that they need not share a bucket.
+        alike = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+        first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BUCKET_ROWS))).alias("some")
+        blocks = alike.select("doc_id", "source", "size", "n", first)
+        here = F.least(F.lit(BUCKET_ROWS).cast("long"), F.col("n") - F.col("some") * BUCKET_ROWS)
+        numbered = blocks.select("doc_id", "source", "size", "some", F.explode(F.sequence(F.lit(0).cast("long"), here - 1)).alias("nth"))
+        sizes = numbered.select(F.lit(None).cast("long").alias("row"), "doc_id", "source", "size", (F.col("some") * BUCKET_ROWS + F.col("nth")).alias("nth"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     part = share - F.floor(share)
     even = (part < _TINY) | (part > 1 - _TINY) | (F.col("size") == 0)
-    buckets = -(-max(sizes.count(), 1) // BUCKET_ROWS)
-    spin = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
+    buckets = -(-max(total, 1) // BUCKET_ROWS)
+    spin = F.xxhash64(F.lit(seed), "doc_id", "source", "size", "nth")
     w = wanted.withColumnRenamed("source", "_source")
     rows = sizes.join(w, sizes["source"].eqNullSafe(w["_source"])).select(
         "row", "doc_id", "source", "size", "source_size", "target",
@@ -113,8 +125,10 @@ def mix(sizes: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
         spin.alias("spin"),
         F.pmod(spin, F.lit(buckets)).alias("bucket"),
     )
-    level = materialize(rows.groupBy("bucket").applyInArrow(_pivot, _SCHEMA), "rounding")
-    settled = level.filter("open is null")
+    rows = materialize(rows, "shares")
+    # Rows whose copies are whole from the start take no part.
+    level = materialize(rows.filter("open is not null").groupBy("bucket").applyInArrow(_pivot, _SCHEMA), "rounding")
+    settled = rows.filter("open is null").select(*level.columns).union(level.filter("open is null"))
     level = level.filter("open is not null")
     while buckets > 1:
         buckets = -(-buckets // FAN)
