@@ -253,7 +253,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ≤ capacity rows
     runs, _ = plan(counts, capacity)
     parts = -(-max([1, *counts.values()]) // NUMBERED)
-    keys = [c for c in ("doc_id", "piece") if c in made.columns]
+    keys = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in made.columns]  # alike in all of them: alike in what is placed
     cut = made.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)))
     starts = cut.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
