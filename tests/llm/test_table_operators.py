@@ -257,6 +257,16 @@ def test_shard_edge_cases(spark):
     assert sharding.shard(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    """Rows alike in all that is looked at spread over the buckets, and none is lost."""
+    rows = [(None, "one two", "en", "a")] * 9000 + [(7, "x " * 30, "en", "b")] * 3000 + [(i, "y", "en", "c") for i in range(100)] + [(None, None, "en", "a")] * 50
+    sizes = mixing.sized(documents(spark, rows).repartition(6)).select("doc_id", "source", "size")
+    mixed = mixing.mix(sizes, mixing.targets(sizes)).cache()
+    check_mix(mixed.withColumn("taken", F.col("size") * F.col("copies")).collect(), [(r[3], r[1]) for r in rows])
+    again = mixing.mix(sizes.repartition(2), mixing.targets(sizes))
+    assert Counter(mixed.drop("row").collect()) == Counter(again.drop("row").collect())
+
+
 # Packing
 
 
@@ -353,6 +363,12 @@ def test_packing_edge_cases(spark):
     assert packing.pack_documents(documents(spark, ODD).limit(0), TOKENIZER).count() == 0
 
 
+def test_pieces_alike_in_id_and_length_keep_their_place(spark):
+    rows = [(None, f"w{i} " * 40, "en", "a") for i in range(300)] + [(5, f"v{i} " * 40, "en", "a") for i in range(300)]
+    one, two = ({(r["doc_id"], r["ids_crc32"], r["sequence_id"], r["offset"]) for r in packing.pack_documents(documents(spark, rows).repartition(n), TOKENIZER).collect()} for n in (2, 7))
+    assert one == two and len(one) == 600
+
+
 # Pipeline
 
 

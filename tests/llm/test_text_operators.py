@@ -51,6 +51,41 @@ def test_languages_of_held_out_documents(spark, small):
     assert np.mean([found[i]["lang_pred"] == small[i]["lang"] for i in held]) > 0.95
 
 
+def plain_grams(text):
+    """3- and 4-grams of letters of one text; only their ends may be a word's edge."""
+    codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    return [tuple(codes[i : i + n]) for n in (3, 4) for i in range(len(codes) - n + 1) if all(codes[i + 1 : i + n - 1])]
+
+
+def test_languages_against_plain_sets(spark, small):
+    """Predictions from sets of each language's n-grams in place of the filters."""
+    learned = [r for i, r in small.items() if zlib.crc32(str(i).encode()) % 4 != 2 and r["text"] and r["lang"]]
+    counts = {}
+    for text, lang in {(r["text"], r["lang"]) for r in learned}:
+        counts.setdefault(lang, Counter()).update(plain_grams(text))
+
+    def order(item):
+        h = len(item[0])
+        for c in item[0]:
+            h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+        h ^= h >> 32
+        h = h * 0xD6E8FEB86659FD93 % 2**64
+        h ^= h >> 32
+        return -item[1], h - 2**64 if h >> 63 else h
+
+    known = {lang: {g for n in (3, 4) for g, _ in sorted(((g, c) for g, c in counted.items() if len(g) == n), key=order)[:4000]} for lang, counted in counts.items()}
+    found = {r["doc_id"]: r for r in catalog.op9_bitmask_langid(spark, SMALL).collect()}
+    for i, r in small.items():
+        grams = plain_grams(r["text"] or "")
+        hits = {lang: sum(g in own for g in grams) for lang, own in known.items()}
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert found[i]["lang_pred"] == "und" and found[i]["score"] == 0
+        elif sum(hits.values()):
+            best = max(sorted(hits), key=hits.get)
+            assert found[i]["lang_pred"] == best
+            assert found[i]["score"] == pytest.approx(hits[best] / sum(hits.values()), abs=0.02)
+
+
 def test_language_edge_cases(spark):
     docs = documents(spark, ODD)
     model = langid.fit(docs)
