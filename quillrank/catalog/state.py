@@ -234,6 +234,24 @@ def source_run_ledger(spark, folder):
     return ledger.read().select("source_url", "year", "source_name", "status", "row_count", "error")
 
 
+def source_run_details(spark, folder):
+    """Card pages in five sources, worked off together with the items' detail pages."""
+    cards = card_pages(spark, folder)
+    name = F.concat(F.lit("archive "), (F.col("page_id") % 5).cast("string"))
+    read = cards.select(name.alias("source_url"), F.col("page_id").alias("page_no"), "url", "html", F.lit(None).cast("string").alias("error"))
+    sources = read.select("source_url").distinct().select(
+        "source_url", F.lit(2020).alias("year"), F.lit(0).alias("ordinal"), F.col("source_url").alias("source_name")
+    )
+    items = SnapshotStore(spark, shared_folder(spark, "items"))
+    ledger = SnapshotStore(spark, shared_folder(spark, "ledger"), LEDGER, "source_url")
+    settings = replace(SETTINGS, site=Site())
+    history.run_sources(items, ledger, sources, read, settings, RUN_TS, "run", detail_pages(spark, folder))
+    return items.read().select(
+        "url", "title", "year", "conference_year", "speaker", "duration_minutes", "has_video", "has_slides", "has_transcript",
+        F.col("published_date").cast("string").alias("published"),
+    )
+
+
 def _page_records(pages):
     """Item records of a batch of pages, one per address: the last page wins."""
     rows = links.item_links(pages, PAGE_SITE)
@@ -286,6 +304,16 @@ marks AS (SELECT * FROM run1 WHERE issue_number IS NOT NULL QUALIFY row_number()
 merged AS (
   SELECT * FROM last2 UNION ALL SELECT * FROM last1 WHERE key NOT IN (SELECT key FROM last2))"""
 
+_DETAIL_SQL = """det AS (
+  SELECT 'https://items.example.org/presentations/d' || doc_id || '/' AS url,
+    CASE doc_id % 6 WHEN 4 THEN 'Heading ' || title WHEN 5 THEN NULL ELSE title END AS title,
+    CASE WHEN doc_id % 6 < 4 THEN text ELSE 'Meta ' || title END AS summary,
+    CASE WHEN doc_id % 6 < 4 THEN day END AS day,
+    CASE WHEN doc_id % 6 IN (0, 3) THEN 'Ann ' || doc_id || ', Bo ' || doc_id WHEN doc_id % 6 = 1 THEN 'Ann ' || doc_id END AS speaker,
+    CASE WHEN doc_id % 6 < 4 AND doc_id % 5 > 1 THEN nullif((doc_id % 3) * 60 + doc_id % 50 + CASE WHEN doc_id % 60 >= 30 THEN 1 ELSE 0 END, 0) END AS minutes,
+    (doc_id % 6 < 4 AND doc_id % 3 = 0) OR doc_id % 7 = 0 AS v, doc_id % 4 = 0 AS s, doc_id % 2 = 0 AS t
+  FROM facts)"""
+
 _EVENTS_SQL = f"""{ITEMS_SQL},
 ev AS (
   SELECT i.url, max(l.doc_id) AS d FROM labels l JOIN items i USING (doc_id) GROUP BY i.url)"""
@@ -301,15 +329,7 @@ QUERIES = {
         detail_overlay,
         f"""WITH {ITEMS_SQL},
 {_FACTS_SQL},
-det AS (
-  SELECT 'https://items.example.org/presentations/d' || doc_id || '/' AS url,
-    CASE doc_id % 6 WHEN 4 THEN 'Heading ' || title WHEN 5 THEN NULL ELSE title END AS title,
-    CASE WHEN doc_id % 6 < 4 THEN text ELSE 'Meta ' || title END AS summary,
-    CASE WHEN doc_id % 6 < 4 THEN day END AS day,
-    CASE WHEN doc_id % 6 IN (0, 3) THEN 'Ann ' || doc_id || ', Bo ' || doc_id WHEN doc_id % 6 = 1 THEN 'Ann ' || doc_id END AS speaker,
-    CASE WHEN doc_id % 6 < 4 AND doc_id % 5 > 1 THEN nullif((doc_id % 3) * 60 + doc_id % 50 + CASE WHEN doc_id % 60 >= 30 THEN 1 ELSE 0 END, 0) END AS minutes,
-    (doc_id % 6 < 4 AND doc_id % 3 = 0) OR doc_id % 7 = 0 AS v, doc_id % 4 = 0 AS s, doc_id % 2 = 0 AS t
-  FROM facts)
+{_DETAIL_SQL}
 SELECT i.doc_id, i.url, coalesce(d.title, i.title) AS title, coalesce(nullif(d.summary, ''), i.summary) AS summary,
   CAST(coalesce(d.day, i.published_date) AS VARCHAR) AS published, CAST(coalesce(year(d.day), i.year) AS INTEGER) AS year,
   coalesce(d.speaker, i.speaker) AS speaker, CAST(coalesce(d.minutes, i.duration_minutes) AS INTEGER) AS duration_minutes,
@@ -460,6 +480,16 @@ named AS (
 firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1)
 SELECT url, title, CAST(2020 AS INTEGER) AS conference_year, 'new' AS watch_status FROM firsts
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC, pos DESC) = 1""",
+    ),
+    "source_run_details": (
+        source_run_details,
+        f"""WITH {_FACTS_SQL},
+{_DETAIL_SQL}
+SELECT c.url, coalesce(d.title, c.title) AS title, CAST(coalesce(year(d.day), c.year) AS INTEGER) AS year, CAST(2020 AS INTEGER) AS conference_year,
+  coalesce(d.speaker, c.speaker) AS speaker, CAST(coalesce(d.minutes, c.duration_minutes) AS INTEGER) AS duration_minutes,
+  c.has_video OR coalesce(d.v, false) AS has_video, coalesce(d.s, false) AS has_slides, c.has_transcript OR coalesce(d.t, false) AS has_transcript,
+  coalesce(CAST(d.day AS VARCHAR), c.published) AS published
+FROM cards c LEFT JOIN det d ON c.url = d.url""",
     ),
     "ingest_items": (
         ingest_items,

@@ -8,9 +8,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.catalog.extraction import PAGE_SITE
 from quillrank.catalog.selection import LATEST_SQL, open_sql
 from quillrank.catalog.views import SCORED_SQL, SETTINGS, scored_view, table
+from quillrank.operators import links
 from quillrank.session import shared_folder
+from quillrank.sources.pages import read_saved_pages, saved_page_stream
 from quillrank.sources.sinks import SETTLED, outbox_status
 from quillrank.sources.state import SnapshotStore
 from quillrank.streaming.changes import answered, changed_writes, windowed_counts, work_off, worked_off
@@ -83,6 +86,30 @@ def windowed_outcomes(spark, folder):
     return spark.read.parquet(out).select(F.col("from").cast("string").alias("day"), F.col("kind").alias("type"), "late", "rows")
 
 
+def saved_pages(spark, folder):
+    """Pages saved as files, one each, read back as a batch and as a stream of several triggers: what links they have."""
+    saved, out = shared_folder(spark, "saved"), shared_folder(spark, "read")
+    pages = table(spark, folder, "pages")
+    pages.select("page_id", "html").repartition(16, "page_id").write.partitionBy("page_id").text(saved)
+    of = F.regexp_extract("seq", "page_id=([0-9]+)/", 1).cast("long").alias("page")
+    # Files end with the line break that was written after each page.
+    html = F.substring("html", F.lit(1), F.length("html") - 1).alias("html")
+    base = f"https://{PAGE_SITE.host}/"
+
+    def found(rows):
+        own = rows.select("page_id", "url", html, of)
+        return own.select("page", F.md5("html").alias("digest"), F.size(links.page_anchors(F.col("html"))).alias("anchors"))
+
+    work_off(saved_page_stream(spark, f"{saved}/page_id=*", base, 100), out, shared_folder(spark, "offsets"), each=found)
+    batch = found(read_saved_pages(spark, f"{saved}/page_id=*", base)).withColumn("read", F.lit("batch"))
+    return batch.union(spark.read.parquet(out).select(*batch.drop("read").columns, F.lit("stream").alias("read")))
+
+
+_SAVED_SQL = r"""
+WITH p AS (SELECT page_id AS page, md5(html) AS digest,
+  CAST(len(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?i)<a\s[^>]*>')) AS INTEGER) AS anchors FROM pages)
+SELECT *, unnest(['batch', 'stream']) AS read FROM p"""
+
 _CHANGES_SQL = rf"""
 WITH w AS (
   SELECT split_part(url, '?', 1) AS url, part, page_id * 10 + part AS seq,
@@ -115,6 +142,7 @@ SELECT strftime(date_trunc('day', time), '%Y-%m-%d %H:%M:%S') AS day, type, late
 WHERE date_trunc('day', time) + INTERVAL 1 DAY <= (SELECT max(time) - INTERVAL 2 HOURS FROM t) GROUP BY ALL"""
 
 QUERIES = {
+    "saved_pages": (saved_pages, _SAVED_SQL),
     "stream_changes": (stream_changes, _CHANGES_SQL),
     "outbox_retries": (outbox_retries, _RETRIES_SQL),
     "windowed_outcomes": (windowed_outcomes, _WINDOWS_SQL),

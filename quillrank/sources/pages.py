@@ -32,6 +32,17 @@ def read_saved_pages(spark: SparkSession, folder: str, base_url: str) -> DataFra
     )
 
 
+def saved_page_stream(spark: SparkSession, folder: str, base_url: str, files_per_batch: int | None = None) -> DataFrame:
+    """``read_saved_pages`` as a stream: each file once, as it is saved."""
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    files = reader.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("html"))
+    return files.select(
+        F.xxhash64("file").alias("page_id"), F.lit(base_url).alias("url"), "html", F.col("file").alias("seq")
+    )
+
+
 def read_cached_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Saved pages named by the hash of their address: ``cache_key, html``."""
     files = spark.read.text(folder, wholetext=True)
