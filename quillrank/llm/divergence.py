@@ -46,7 +46,7 @@ LEAST = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Bytes of texts whose chunks are counted at once, and entries of a bucket after which its pieces are combined.
-PORTION = 16 << 20
+PORTION = 8 << 20
 COMBINED = 500_000
 #: Terms (about) and sources of a tile.
 BUCKET = 4096
