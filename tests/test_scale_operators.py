@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillrank.operators import paging, reports, substring_index
+from quillrank.operators import paging, pieces, reports, substring_index
 from quillrank.operators.selection import list_order
 
 
@@ -20,6 +20,30 @@ def test_substrings_against_brute_force(spark):
     assert substring_index.substring_matches(df, "key", "name", table.limit(0)).count() == 0
 
 
+def test_numbers_as_needles_meet_only_texts_that_have_them(spark):
+    # All trigrams of such needles are in many texts; whole needles are not.
+    number = F.lpad(F.col("id").cast("string"), 9, "0")
+    needles = spark.range(3000).select(F.col("id").alias("needle_no"), number.alias("needle"))
+    texts = spark.range(0, 9000, 3).select(F.col("id").alias("key"), F.concat(F.lit("Sold to #"), number, F.lit(" today")).alias("name"))
+    assert sorted(tuple(r) for r in substring_index.substring_matches(texts, "key", "name", needles).collect()) == [(i, i) for i in range(0, 3000, 3)]
+    chosen, whole = pieces.sizes(needles.withColumn("length", F.length("needle")), "length")
+    assert (chosen, whole) == ([9], True)
+    cut = substring_index._grams(texts.select(F.col("key").alias("_text"), F.lower("name").alias("_folded")), chosen)
+    left = pieces.possible(cut, needles.select(F.xxhash64("needle").alias("mark")), "mark")
+    assert cut.count() == 3000 * 16 and 1000 <= left.count() <= 1100
+
+
+def test_needles_of_many_lengths_in_long_texts(spark):
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("abcÄ😀") for _ in range(rng.choice([3, 40, 700])))) for i in range(40)]
+    made = [(t[a : a + n]) for _, t in texts for n in (1, 2, 5, 9, 17, 30, 31, 33, 64, 120, 300, 600) for a in [rng.randrange(0, len(t))]]
+    needles = [(i, s if i % 3 else s[::-1]) for i, s in enumerate(made)]
+    want = sorted((k, n) for k, t in texts for n, s in needles if s and s.lower() in t.lower())
+    df, table = spark.createDataFrame(texts, "key long, name string"), spark.createDataFrame(needles, "needle_no long, needle string")
+    assert len({len(s) for _, s in needles}) > pieces.SIZES
+    assert sorted(tuple(r) for r in substring_index.substring_matches(df, "key", "name", table).collect()) == want
+
+
 def listing(spark, n):
     rows = spark.range(n).select(
         F.when(F.col("id") % 11 != 0, (F.col("id") % 5 + 2015).cast("int")).alias("year"), F.lit("watch").alias("decision"),
