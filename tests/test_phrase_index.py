@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillrank.config import Rule, rules_frame
 from quillrank.functions.text import fold_text
-from quillrank.operators import phrase_index, scoring
+from quillrank.operators import phrase_index, pieces, scoring
 
 ODD = ("C++", ".net", "++", "--", "a.b", "of the", "x", "à la", "straße", "C#/.net", "(x)", "end.", " lead", "und so weiter", "a  b", "_id", "!")
 
@@ -71,3 +71,27 @@ def test_plan_does_not_grow_with_the_rules(spark):
     assert few == many and (one, all_) == (10, 300)
     plan = phrase_index.phrase_hits(df, "key", "body", rules_frame(spark, [Rule("a", 1, ("w1 w2",))]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan
+
+
+def test_terms_of_many_lengths(spark):
+    rng = random.Random(7)
+    words = ["a", "b", "c++", "(d)", "e"]
+    texts = [(i, rng.choice(["", "- "]) + " ".join(rng.choice(words) for _ in range(40)) + rng.choice(["", " !"])) for i in range(60)]
+    cut = lambda t, n: " ".join(t.split(" ")[5 : 5 + n])
+    rules = [Rule(f"r{n}", 1, tuple(cut(t, n) for _, t in texts[:6]) + (cut(texts[0][1], n)[:-1], f"{cut(texts[1][1], n)} !")) for n in range(1, 20)]
+    assert table_hits(spark, texts, rules) == brute(texts, rules)
+
+
+def test_phrases_of_frequent_words_meet_only_texts_that_have_them(spark):
+    # Every word is in every text, hardly any phrase is.
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.sample(words, 30))) for i in range(300)]
+    rules = [Rule("r", 1, tuple(" ".join(rng.sample(words, 3)) for _ in range(400)))]
+    want = brute(texts, rules)
+    assert table_hits(spark, texts, rules) == want
+    df = spark.createDataFrame(texts, "_text long, body string").select("_text", phrase_index.runs(F.col("body")).alias("runs"))
+    terms = phrase_index.term_table(rules_frame(spark, rules)).select("parts", F.array_join("parts", "").alias("folded"), F.lit(3).alias("words"))
+    cut = phrase_index._text_pieces(df, [3])
+    left = pieces.possible(cut, phrase_index._term_pieces(terms, [3]).select("mark"), "mark")
+    assert cut.count() == 300 * 28 and left.count() <= len({(k, t) for k, _, _, t in want}) + 10
