@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Groups of addresses that share a state; fixed for the life of a checkpoint.
+GROUPS = 4096
+
 
 def changed_writes(writes: DataFrame, columns: Sequence[str], keep: timedelta, delay: timedelta) -> DataFrame:
     """The rows of a stream ``url, at, seq, <columns>`` that say something new: ``kind`` is new or changed.
@@ -20,6 +23,8 @@ def changed_writes(writes: DataFrame, columns: Sequence[str], keep: timedelta, d
     address not written for longer is forgotten and new when it comes again. A write that
     is not later than the last one (by ``at``, then ``seq``) is passed over: it was late, or
     came twice. Writes more than ``delay`` behind the stream are not waited for.
+
+    Addresses share ``GROUPS`` states by their hash: a call for each address costs far more than its rows.
     """
     columns = list(columns)
     known = {f.name: f.dataType for f in writes.schema.fields}
@@ -30,29 +35,34 @@ def changed_writes(writes: DataFrame, columns: Sequence[str], keep: timedelta, d
     hold = int(keep / timedelta(milliseconds=1))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = tuple(state.get) if state.exists else None
+        held = {url: last for url, *last in zip(*state.get)} if state.exists else {}
+        rows = [] if state.hasTimedOut else [r for frame in frames for r in zip(*(frame[c] for c in ("url", "at_us", "seq", "print", *columns)))]
         said: list[tuple] = []
-        rows = pd.concat(list(frames)).sort_values(["at_us", "seq"])
-        for row in rows.itertuples(index=False):
-            if last and (row.at_us, row.seq) <= last[:2]:
+        for url, at, seq, mark, *values in sorted(rows, key=lambda r: r[:3]):
+            last = held.get(url)
+            if last and (at, seq) <= tuple(last[:2]):
                 continue
-            if not last or row.print != last[2]:
-                said.append((key[0], "changed" if last else "new", row.at_us, row.seq, *(getattr(row, c) for c in columns)))
-            last = (int(row.at_us), int(row.seq), row.print)
-        state.update(last)
-        state.setTimeoutTimestamp(last[0] // 1000 + hold)
+            if not last or mark != last[2]:
+                said.append((url, "changed" if last else "new", at, seq, *values))
+            held[url] = (int(at), int(seq), mark)
+        # An address written in this batch is still known, whatever its time.
+        now, written = state.getCurrentWatermarkMs(), {r[0] for r in rows}
+        held = {url: last for url, last in held.items() if url in written or last[0] // 1000 + hold >= now}
+        if held:
+            state.update(([*held], *map(list, zip(*held.values()))))
+            state.setTimeoutTimestamp(max(min(last[0] for last in held.values()) // 1000 + hold, now + 1))
+        elif state.exists:
+            state.remove()
         if said:
             yield pd.DataFrame(said, columns=out.names)
 
     marked = writes.filter("url is not null and at is not null").select(
         "url", "at", F.unix_micros("at").alias("at_us"), F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"),
         F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("print"), *columns,
+        F.pmod(F.xxhash64("url"), F.lit(GROUPS)).alias("_group"),
     )
-    found = marked.withWatermark("at", f"{int(delay.total_seconds())} seconds").groupBy("url").applyInPandasWithState(
-        step, out, "at_us long, seq long, print string", "update", GroupStateTimeout.EventTimeTimeout
+    found = marked.withWatermark("at", f"{int(delay.total_seconds())} seconds").groupBy("_group").applyInPandasWithState(
+        step, out, "url array<string>, at_us array<long>, seq array<long>, print array<string>", "update", GroupStateTimeout.EventTimeTimeout
     )
     return found.select("url", "kind", F.timestamp_micros("at_us").alias("at"), "seq", *columns)
 

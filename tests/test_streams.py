@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.sources import sinks
+from quillrank.streaming import changes
 from quillrank.streaming.changes import answered, changed_writes, windowed_counts, work_off, worked_off
 
 START = datetime(2025, 1, 1)
@@ -48,6 +49,27 @@ def test_changes_survive_restarts_late_and_repeated_writes(spark, tmp_path):
     assert [r for r in said() if r[3] == 5] == [("a", "new", "two", 5)]
 
 
+def test_many_addresses_share_few_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "GROUPS", 3)
+    feed = Feed(spark, tmp_path / "in", "url string, at timestamp, seq long, title string")
+
+    def run():
+        work_off(changed_writes(feed.stream(), ["title"], timedelta(days=2), 12 * HOUR), str(tmp_path / "out"), str(tmp_path / "offsets"), "update")
+        return {(r["url"], r["kind"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    feed.add([(f"u{i}", START + i * HOUR, i, "one") for i in range(40)])
+    assert run() == (seen := {(f"u{i}", "new", i) for i in range(40)})
+    feed.add([(f"u{i}", START + timedelta(days=2, hours=10 + i), 100 + i, "one" if i % 2 else "two") for i in range(10, 20)])
+    assert run() - seen == (more := {(f"u{i}", "changed", 100 + i) for i in range(10, 20, 2)})
+    # Past the time of some addresses of a group: these are new again, others of the group are not.
+    feed.add([("z", START + timedelta(days=4, hours=12), 1, "z")])
+    feed.add([("z", START + timedelta(days=4, hours=12), 2, "z")])
+    feed.add([(f"u{i}", START + timedelta(days=4, hours=13), 300 + i, "two") for i in (5, 10, 11, 19)])
+    assert run() - seen - more == {("z", "new", 1), ("u5", "new", 305), ("u11", "changed", 311), ("u19", "changed", 319)}
+    states = spark.read.format("statestore").load(str(tmp_path / "offsets"))
+    assert states.count() <= 3
+
+
 OUTBOX = "kind string, _key string, url string, run string, queued_at timestamp"
 ANSWERS = "kind string, _key string, run string, ok boolean, answered_at timestamp"
 
