@@ -113,6 +113,13 @@ def _listing(link: Column, cards: Column, base: Column, site: Site) -> Column:
     )
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """The same pages over all tasks: walking costs far more than moving, and a table or file may come in few parts."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = [c for c in pages.columns if c != "html"]
+    return pages.repartition(parts, F.xxhash64(*named))
+
+
 def with_listing(pages: DataFrame, site: Site) -> DataFrame:
     """Add ``links`` (raw item links) and ``listing`` (accepted card rows) to each page."""
     df = pages.withColumn("_page", page_cards(F.col("html"), site))

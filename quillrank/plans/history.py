@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import Settings
-from quillrank.operators.cards import page_results, result_items
+from quillrank.operators.cards import page_results, result_items, spread
 from quillrank.operators.merge import (
     canonical_items,
     last_writes,
@@ -33,7 +33,7 @@ def read_pages(pages: DataFrame, settings: Settings) -> DataFrame:
     ``pages``: source_url, page_no, url, html, error. Markup that cannot be read is
     an error of its page like one that came with it.
     """
-    results = page_results(pages, settings.site)
+    results = page_results(spread(pages), settings.site)
     return results.withColumn("error", F.coalesce("error", "walk_error")).drop("walk_error")
 
 
@@ -85,7 +85,7 @@ def collapsed_rows(rows: DataFrame, settings: Settings, run_ts: datetime, detail
         with_write_defaults(canonical_items(rows.drop("source_url"), settings.site), run_ts), order
     )
     if details is not None:
-        detail = canonical_items(detail_items(details, settings.site), settings.site)
+        detail = canonical_items(detail_items(spread(details), settings.site), settings.site)
         detail = detail.groupBy("url").agg(
             F.max_by(F.struct(*[c for c in detail.columns if c != "url"]), F.struct("page_id")).alias("_d")
         ).select("url", "_d.*")

@@ -173,3 +173,17 @@ def test_fetch_plan(spark):
     wanted = spark.createDataFrame([("a",), ("b",), ("a",)], "url string")
     cached = wanted.filter("url = 'b'").select(F.sha2("url", 256).alias("cache_key"))
     assert values(frontier.fetch_plan(wanted, cached), "url") == [("a",)]
+
+
+def test_pages_of_one_part_are_walked_by_all_tasks(spark):
+    from quillrank.config import Settings, Site
+    from quillrank.plans import crawl, history
+
+    html = F.concat(F.lit('<li><a href="/presentations/d'), F.col("id").cast("string"), F.lit('">T</a> 1:02</li>'))
+    url = F.concat(F.lit("https://items.example.org/l"), F.col("id").cast("string"))
+    pages = spark.range(0, 200, 1, 1).select(F.col("id").alias("page_id"), url.alias("url"), html.alias("html"))
+    found = crawl.extracted_items(pages, Settings(site=Site()), ["page_id"])
+    assert found.count() == 200 and found.select(F.spark_partition_id()).distinct().count() > 4
+    read = pages.select(F.lit("s").alias("source_url"), F.col("page_id").alias("page_no"), "url", "html", F.lit(None).cast("string").alias("error"))
+    results = history.read_pages(read, Settings(site=Site()))
+    assert results.count() == 200 and results.select(F.spark_partition_id()).distinct().count() > 4
