@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.config import Settings
-from quillrank.operators.cards import page_items
+from quillrank.operators.cards import page_items, spread
 from quillrank.operators.detail import detail_items
 from quillrank.operators.merge import (
     canonical_items,
@@ -26,7 +26,7 @@ from quillrank.sources.state import SnapshotStore
 
 def extracted_items(pages: DataFrame, settings: Settings, seq: Sequence[str]) -> DataFrame:
     """Item records of all pages, with the columns that order their writes."""
-    return item_records(page_items(pages, settings.site), seq)
+    return item_records(page_items(spread(pages), settings.site), seq)
 
 
 def item_records(found: DataFrame, seq: Sequence[str]) -> DataFrame:
@@ -55,7 +55,7 @@ def crawl_items(
     rows = with_write_defaults(canonical_items(rows, settings.site), run_ts)
     rows = last_writes(rows, [*seq, "pos"])
     if details is not None:
-        detail = canonical_items(detail_items(details, settings.site), settings.site)
+        detail = canonical_items(detail_items(spread(details), settings.site), settings.site)
         detail = detail.groupBy("url").agg(
             F.max_by(F.struct(*[c for c in detail.columns if c != "url"]), F.struct("page_id")).alias("_d")
         ).select("url", "_d.*")
