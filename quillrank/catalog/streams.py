@@ -90,7 +90,12 @@ def saved_pages(spark, folder):
     """Pages saved as files, one each, read back as a batch and as a stream of several triggers: what links they have."""
     saved, out = shared_folder(spark, "saved"), shared_folder(spark, "read")
     pages = table(spark, folder, "pages")
-    pages.select("page_id", "html").repartition(16, "page_id").write.partitionBy("page_id").text(saved)
+    # Each task puts its own files in place; one after the other at the end would take the driver longer than all else.
+    files = pages.select("page_id", "html").repartition(16, "page_id").write.partitionBy("page_id")
+    files.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(saved)
+    # A trigger has its price, however few files it takes: with more pages triggers take more files, not more turns.
+    least, turns = 100, 25
+    at_once = max(least, -(-pages.count() // turns))
     of = F.regexp_extract("seq", "page_id=([0-9]+)/", 1).cast("long").alias("page")
     # Files end with the line break that was written after each page.
     html = F.substring("html", F.lit(1), F.length("html") - 1).alias("html")
@@ -100,8 +105,8 @@ def saved_pages(spark, folder):
         own = rows.select("page_id", "url", html, of)
         return own.select("page", F.md5("html").alias("digest"), F.size(links.page_anchors(F.col("html"))).alias("anchors"))
 
-    work_off(saved_page_stream(spark, f"{saved}/page_id=*", base, 100), out, shared_folder(spark, "offsets"), each=found)
-    batch = found(read_saved_pages(spark, f"{saved}/page_id=*", base)).withColumn("read", F.lit("batch"))
+    work_off(saved_page_stream(spark, saved, base, at_once), out, shared_folder(spark, "offsets"), each=found)
+    batch = found(read_saved_pages(spark, saved, base)).withColumn("read", F.lit("batch"))
     return batch.union(spark.read.parquet(out).select(*batch.drop("read").columns, F.lit("stream").alias("read")))
 
 

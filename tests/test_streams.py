@@ -129,3 +129,17 @@ def test_a_replayed_batch_replaces_its_own_folder(spark, tmp_path):
     work_off(feed.stream(), str(tmp_path / "out"), str(tmp_path / "offsets"), each=lambda rows: rows.withColumn("x", F.col("x") + 1))
     assert [r["x"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [2]
     assert json.loads((tmp_path / "offsets/metadata").read_text())["id"]
+
+
+def test_saved_pages_are_listed_by_few_tasks(spark, tmp_path):
+    from quillrank.session import tune
+    from quillrank.sources.pages import read_saved_pages
+
+    tune(spark)
+    spark.range(150).selectExpr("id AS page_id", "'x' AS html").coalesce(1).write.partitionBy("page_id").text(str(tmp_path / "saved"))
+    spark.sparkContext.setJobGroup("listed", "listed")
+    pages = read_saved_pages(spark, str(tmp_path / "saved"), "https://items.example.org/")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listed") for s in tracker.getJobInfo(j).stageIds]
+    assert max((tracker.getStageInfo(s).numTasks for s in stages), default=0) <= 64
+    assert pages.count() == 150
