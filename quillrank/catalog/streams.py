@@ -13,7 +13,7 @@ from quillrank.catalog.selection import LATEST_SQL, open_sql
 from quillrank.catalog.views import SCORED_SQL, SETTINGS, scored_view, table
 from quillrank.operators import links
 from quillrank.session import shared_folder
-from quillrank.sources.pages import read_saved_pages, saved_page_stream
+from quillrank.sources.pages import read_saved_pages, save_pages, saved_page_id, saved_page_stream
 from quillrank.sources.sinks import SETTLED, outbox_status
 from quillrank.sources.state import SnapshotStore
 from quillrank.streaming.changes import answered, changed_writes, windowed_counts, work_off, worked_off
@@ -90,23 +90,23 @@ def saved_pages(spark, folder):
     """Pages saved as files, one each, read back as a batch and as a stream of several triggers: what links they have."""
     saved, out = shared_folder(spark, "saved"), shared_folder(spark, "read")
     pages = table(spark, folder, "pages")
-    # Each task puts its own files in place; one after the other at the end would take the driver longer than all else.
-    files = pages.select("page_id", "html").repartition(16, "page_id").write.partitionBy("page_id")
-    files.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(saved)
+    save_pages(pages, saved)
     # A trigger has its price, however few files it takes: with more pages triggers take more files, not more turns.
     least, turns = 100, 25
-    at_once = max(least, -(-pages.count() // turns))
-    of = F.regexp_extract("seq", "page_id=([0-9]+)/", 1).cast("long").alias("page")
+    total = pages.count()
+    at_once = max(least, -(-total // turns))
+    of = saved_page_id().alias("page")
     # Files end with the line break that was written after each page.
     html = F.substring("html", F.lit(1), F.length("html") - 1).alias("html")
     base = f"https://{PAGE_SITE.host}/"
 
-    def found(rows):
-        own = rows.select("page_id", "url", html, of)
+    def found(rows, files):
+        # By default a task reads some thirty files, however small they are, and writes one of its own.
+        own = rows.select("page_id", "url", html, of).coalesce(max(64, files // 1000))
         return own.select("page", F.md5("html").alias("digest"), F.size(links.page_anchors(F.col("html"))).alias("anchors"))
 
-    work_off(saved_page_stream(spark, saved, base, at_once), out, shared_folder(spark, "offsets"), each=found)
-    batch = found(read_saved_pages(spark, saved, base)).withColumn("read", F.lit("batch"))
+    work_off(saved_page_stream(spark, saved, base, at_once), out, shared_folder(spark, "offsets"), each=lambda rows: found(rows, at_once))
+    batch = found(read_saved_pages(spark, saved, base), total).withColumn("read", F.lit("batch"))
     return batch.union(spark.read.parquet(out).select(*batch.drop("read").columns, F.lit("stream").alias("read")))
 
 

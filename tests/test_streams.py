@@ -131,6 +131,24 @@ def test_a_replayed_batch_replaces_its_own_folder(spark, tmp_path):
     assert json.loads((tmp_path / "offsets/metadata").read_text())["id"]
 
 
+def test_pages_are_saved_by_their_tasks(spark, tmp_path):
+    """A file each, without a folder for every page; rows of one id are one file."""
+    from quillrank.sources.pages import read_saved_pages, save_pages, saved_page_id
+
+    texts = ["<p>a</p>", "two\nlines \u017c\U0001f600\r", "", None]
+    rows = [(i - 3, texts[i % 4]) for i in range(200)] + [(500, "one"), (500, "two"), (None, "nameless")]
+    saved = tmp_path / "saved"
+    save_pages(spark.createDataFrame(rows, "page_id long, html string").repartition(5), str(saved), 4)
+    assert len(list(saved.iterdir())) <= 4 and len(list(saved.rglob("*.html"))) == 202
+    assert not [f for f in saved.rglob("*") if f.name.startswith(".")]
+    read = read_saved_pages(spark, str(saved), "https://items.example.org/").select(saved_page_id().alias("page"), "html")
+    found = {r["page"]: r["html"] for r in read.collect()}
+    assert found.pop(500) in ("one\ntwo\n", "two\none\n") and found.pop(None) == "nameless\n"
+    assert found == {i: (t or "") + "\n" for i, t in rows if i is not None and i != 500}
+    save_pages(spark.createDataFrame([], "page_id long, html string"), str(tmp_path / "none"))
+    assert read_saved_pages(spark, str(tmp_path / "none"), "https://items.example.org/").count() == 0
+
+
 def test_saved_pages_are_listed_by_few_tasks(spark, tmp_path):
     from quillrank.session import tune
     from quillrank.sources.pages import read_saved_pages
