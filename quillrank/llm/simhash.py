@@ -98,7 +98,8 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     found = F.when(F.col("exact"), (F.col("a") < F.col("b")) & (other == 2)).otherwise(
         (other == 0) | ((other == 1) & (F.col("half") == 0))
     )
-    return clear.join(full, "key").filter(found).select("a", "b")
+    # Spark sizes the variants as if they were as many as the fingerprints, and would send all of them through the driver.
+    return clear.hint("merge").join(full, "key").filter(found).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

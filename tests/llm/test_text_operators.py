@@ -174,6 +174,17 @@ def test_every_pair_within_two_bits_once(spark):
     assert set(pairs) == wanted and set(pairs.values()) == {1}
 
 
+def test_variants_are_not_sent_through_the_driver(spark, tmp_path):
+    """A table whose file is small enough to broadcast, its variants are not."""
+    rng = random.Random(4)
+    prints = [rng.getrandbits(64) - 2**63 for _ in range(500)]
+    spark.createDataFrame([(x,) for x in prints + [p ^ 5 for p in prints[:7]]], "fp long").write.parquet(str(tmp_path / "prints"))
+    pairs = simhash.linked_pairs(spark.read.parquet(str(tmp_path / "prints")))
+    assert pairs.count() == 7
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_edge_cases(spark):
     found = simhash.near_duplicates(documents(spark, ODD))
     by = {(r["doc_id"], r["source"]): (r["fp"], r["component_id"]) for r in found.collect()}
