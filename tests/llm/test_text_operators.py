@@ -385,6 +385,30 @@ def test_kinds_come_from_all_texts(spark):
     assert kinds[1] == kinds[2] != kinds[801] == kinds[802] == kinds[803]
 
 
+@pytest.mark.parametrize("rounds", [(0.3, 0.15, 0.08), (0.0, 0.0, 0.3), (0.3,)])
+def test_every_round_passes_over_all_texts(spark, rounds):
+    """Steps by plain loops, over all texts in each round; a round of rate 0 changes nothing."""
+    _, model, _, numbered = fitted(spark, sentences(60))
+    learned = numbered.filter("not held_out").coalesce(1)
+    numbers, at, _ = maxent._laid(learned.toArrow().column("numbers").combine_chunks(), model.rare + 1)
+    want = np.zeros((maxent._FEATURES, maxent.CLASSES))
+    want[0] = model.prior
+    assert len(at) < maxent.STEP  # a step takes all
+    for rate in rounds:
+        z = want[maxent._features(numbers, at, model.buckets)].sum(axis=0)
+        slope = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        slope[np.arange(len(at)), model.classes[numbers[at]]] -= 1
+        by_row = {}
+        for rows in maxent._features(numbers, at, model.buckets):
+            for row, x in zip(rows.tolist(), slope):
+                by_row.setdefault(row, []).append(x)
+        for row, of in by_row.items():
+            g = np.sum(of, axis=0) / np.sqrt(len(of))
+            want[row] -= rate * g / np.sqrt(0.1 + (g * g).mean())
+    found = maxent.train(learned, model, rounds).weights
+    assert np.abs(found - want).max() < 1e-3
+
+
 def test_language_model_edge_cases(spark):
     docs = documents(spark, ODD).select("doc_id", F.lit(False).alias("held_out"), "text")
     found = maxent.fit_and_score(docs)
